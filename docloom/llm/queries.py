@@ -5,20 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, simhash_dedup
+from docloom.llm import bpe, decontaminate, line_dedup, quality, simhash_dedup
 from docloom.llm.tables import table
 
+#: The vocabulary that the queries use; the operators take its path as a parameter.
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document that a group of near copies can spare, with the one that stays."""
     return simhash_dedup.duplicates(table(spark, sf_dir, "documents"))[0]
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are not rejected, with their scores."""
+    found = quality.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("__score").alias("score"), F.col("__threshold").alias("threshold"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and whether decoding them gives the text again."""
+    return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps of documents with test items."""
+    return decontaminate.overlaps_with(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line that an earlier line replaces, with that line."""
     return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op4_quality, op8_byte_bpe, op9_decontaminate, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

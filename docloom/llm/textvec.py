@@ -88,6 +88,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, starts, np.searchsorted(offsets, starts, "right") - 1
 
 
+def beginnings(data: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first bytes of each word that has more than so many, for each length, and the words they begin."""
+    found, owner = [], []
+    live = np.arange(len(starts))
+    total = np.zeros(len(starts), np.uint64)
+    for k in range(max(lengths, default=0) + 1):
+        at = starts[live] + k
+        live, at = live[at < len(data)], at[at < len(data)]
+        value = _WORD_VALUE[data[at]]
+        inside = (value != 0) & ((k == 0) | (at != np.append(starts, -1)[live + 1]))
+        live = live[inside]
+        if k in lengths:
+            found.append(mix(total[live] + U64(k)))
+            owner.append(live)
+        total[live] += value[inside] * _POW[k]
+    return np.concatenate(found) if found else total[:0], np.concatenate(owner) if owner else live[:0]
+
+
 def text_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each text's bytes; 0-length texts share one value."""
     out = np.zeros(len(offsets) - 1, np.uint64)
