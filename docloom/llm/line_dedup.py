@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm import textvec as tv
 from docloom.llm.components import components
@@ -215,7 +216,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, int]:
     return out, out.count()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
     """The text without the lines of these numbers."""
 
