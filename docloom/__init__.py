@@ -1,0 +1 @@
+"""A Spark engine for documentation corpora: sources, document nodes, lookups and renderers as DataFrame plans."""
