@@ -137,42 +137,64 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(sample: pd.DataFrame, rounds: int = 400, seed: int = 1) -> Model | None:
+def fit(sample: pa.Table, rounds: int = 400, seed: int = 1) -> Model | None:
     """A model from rows (good, dense, words, counts, n); None if one kind is missing."""
-    good = sample["good"].to_numpy(bool)
+    good = sample["good"].to_numpy()
     if good.all() or not good.any():
         return None
-    dense = np.stack([np.frombuffer(d, np.float32) for d in sample["dense"]])
-    words = [np.frombuffer(w, np.uint64) for w in sample["words"]]
+    dense = np.stack([np.frombuffer(d.as_buffer(), np.float32) for d in sample["dense"]])
+    words = [np.frombuffer(w.as_buffer(), np.uint64) for w in sample["words"]]
     seen, docs = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_counts=True)
     often = docs >= LEAST_DOCS
     seen, docs = seen[often], docs[often]
     vocabulary = np.sort(seen[np.lexsort((seen, -docs))[:VOCABULARY]])
     mean, scale = dense.mean(0), dense.std(0) + 0.02
-    x = np.zeros((len(sample), _DENSE + len(vocabulary)), np.float32)
-    x[:, :_DENSE] = (dense - mean) / scale
-    for r, (w, c, n) in enumerate(zip(words, sample["counts"], sample["n"], strict=True)):
-        if len(vocabulary) and len(w):
-            at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
-            hit = vocabulary[at] == w
-            x[r, _DENSE + at[hit]] = np.frombuffer(c, np.int32)[hit] / max(n, LEAST_WORDS)
-    spread = 1 / (x[:, _DENSE:].std(0) + _LEAST_SPREAD)
-    x[:, _DENSE:] *= spread
+    x = (dense - mean) / scale
+    row, col, rate = _rates(words, sample["counts"], sample["n"].to_numpy(), vocabulary)
+    n, size = len(sample), len(vocabulary)
+    # of a column's deviation, its zeros need not be there
+    average = np.bincount(col, rate, size) / n
+    spread = 1 / (np.sqrt(np.maximum(np.bincount(col, np.square(rate, dtype=np.float64), size) / n - average**2, 0)) + _LEAST_SPREAD)
+    rate = rate * spread[col].astype(np.float32)
+    rows, row_at = np.unique(row, return_index=True)
+    order = np.argsort(col, kind="stable")
+    cols, col_at = np.unique(col[order], return_index=True)
+    row_by_col, rate_by_col = row[order], rate[order]
+    del row, order
+    s, g = np.zeros(n, np.float32), np.zeros(_DENSE + size, np.float32)
     rng = np.random.default_rng(seed)
     up, down = np.flatnonzero(good), np.flatnonzero(~good)
-    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
+    w, m, v = (np.zeros(_DENSE + size, np.float32) for _ in range(3))
     for step in range(1, rounds + 1):
         a, b = rng.choice(up, 4096), rng.choice(down, 4096)
-        s = x @ w
+        s[:] = x @ w[:_DENSE]
+        if len(rows):
+            s[rows] += np.add.reduceat(rate * w[_DENSE:][col], row_at)
         miss = 1 / (1 + np.exp(np.clip(s[a] - s[b], -30, 30)))
-        pull = np.bincount(a, miss, minlength=len(x)) - np.bincount(b, miss, minlength=len(x))
-        g = -(x.T @ pull.astype(np.float32)) / 4096 + 3e-4 * w
+        pull = (np.bincount(a, miss, minlength=n) - np.bincount(b, miss, minlength=n)).astype(np.float32)
+        g[:_DENSE] = x.T @ pull
+        if len(cols):
+            g[_DENSE + cols] = np.add.reduceat(rate_by_col * pull[row_by_col], col_at)
+        g = 3e-4 * w - g / 4096
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (1 - step / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     w[_DENSE:] *= spread
     return Model(mean, scale, vocabulary, w)
 
 
+def _rates(words: list[np.ndarray], counts: pa.ChunkedArray, n_words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rate) of the vocabulary's terms that each document has."""
+    rows, cols, rates = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for r, (w, c, n) in enumerate(zip(words, counts, n_words, strict=True)):
+        if len(vocabulary) and len(w):
+            at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
+            hit = vocabulary[at] == w
+            cols.append(at[hit].astype(np.int32))
+            rates.append((np.frombuffer(c.as_buffer(), np.int32)[hit] / max(n, LEAST_WORDS)).astype(np.float32))
+            rows.append(np.full(len(cols[-1]), r, np.int32))
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(rates)
+
+
 def preferences(labels: DataFrame) -> DataFrame:
     """(doc_id, good, part): each labelled document once; part 0 fits, part 1 sets the threshold."""
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) != 0
@@ -186,8 +208,10 @@ def scored(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tupl
     chosen = preferences(labels).where("part = 0").orderBy("h", "doc_id").limit(fit_docs)
     sample = texts.where("doc_id is not null and text is not null").join(F.broadcast(chosen.select("doc_id", "good")), "doc_id")
     rows = sample.mapInArrow(_sample_rows, "doc_id long, good boolean, dense binary, words binary, counts binary, n long").toArrow()
-    rows = rows.to_pandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True) if rows.num_rows else pd.DataFrame({"good": []})
-    model = fit(rows) if len(rows) else None
+    model = None
+    if rows.num_rows:
+        kept = rows.select(["doc_id", "good"]).to_pandas().drop_duplicates("doc_id").sort_values("doc_id").index
+        model = fit(rows.take(pa.array(kept)))
     if model is None:
         return docs.withColumn("__score", F.lit(None).cast("double")), None
     shared = docs.sparkSession.sparkContext.broadcast(model)
