@@ -24,9 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import textvec as tv
+
 #: How the vocabulary's texts were cut into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 300_000
+#: Pieces that a generation remembers; of pairs of tokens, four times as many.
+MEMO = 60_000
 OUT = "doc_id long, tokens array<int>, n_tokens long, round_trip boolean"
 _known: dict[str, Coder] = {}
 
@@ -168,26 +171,22 @@ def coder(path: str) -> Coder:
 def _rows(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, 1000)
-                at += 1000
-                flat, offsets, same = array("i"), [0], []
-                texts = part.column("text").to_pylist()
-                for text in texts:
-                    if text is not None:
-                        start = len(flat)
-                        flat.extend(c.encode(text))
-                        same.append(c.decode(flat[start:]) == text)
-                    else:
-                        same.append(None)
-                    offsets.append(len(flat))
-                values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]) if len(flat) else pa.array([], pa.int32())
-                null = pa.array([t is None for t in texts])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=null)
-                n = pa.array([None if t is None else b - a for t, a, b in zip(texts, offsets, offsets[1:], strict=False)], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), tokens, n, pa.array(same, pa.bool_())], ["doc_id", "tokens", "n_tokens", "round_trip"])
+        for batch in tv.parts(batches, limit=2 << 20):
+            flat, offsets, same = array("i"), [0], []
+            texts = batch.column("text").to_pylist()
+            for text in texts:
+                if text is not None:
+                    start = len(flat)
+                    flat.extend(c.encode(text))
+                    same.append(c.decode(flat[start:]) == text)
+                else:
+                    same.append(None)
+                offsets.append(len(flat))
+            values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]) if len(flat) else pa.array([], pa.int32())
+            null = pa.array([t is None for t in texts])
+            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=null)
+            n = pa.array([None if t is None else b - a for t, a, b in zip(texts, offsets, offsets[1:], strict=False)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tokens, n, pa.array(same, pa.bool_())], ["doc_id", "tokens", "n_tokens", "round_trip"])
 
     return rows
 

@@ -120,7 +120,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _scan(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = shared.value
-        for batch in batches:
+        for batch in tv.parts(batches):
             ids = batch.column("doc_id").to_numpy()
             data, offsets = tv.flat(pc.utf8_lower(batch.column("text")))
             out = []
@@ -151,7 +151,7 @@ def _scan(shared):
 
 def _seed_rows(name: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tv.parts(batches):
             w, at = words_of(batch.column("text"))
             if name == "item_id":
                 short = np.diff(at) < SHORTEST

@@ -173,7 +173,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(counts[0])], ["word", "n"])
 
-    for batch in batches:
+    for batch in tv.parts(batches):
         for _, _, h, _ in _hashes(batch.column("text")):
             if len(h):
                 u, n = np.unique(h, return_counts=True)
@@ -231,7 +231,7 @@ def vocabulary(texts: DataFrame) -> tuple[Words, np.ndarray]:
 
 def _token_rows(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tv.parts(batches):
             texts = batch.column("text")
             values, ends = [], [np.zeros(1, np.int64)]
             size = 0

@@ -85,7 +85,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tv.parts(batches):
         row, number, text = lines_of(batch)
         if not len(row):
             continue
@@ -115,7 +115,7 @@ def _crowded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _text_rows(bits: np.ndarray | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tv.parts(batches):
             _, _, text = lines_of(batch)
             if not len(text):
                 continue

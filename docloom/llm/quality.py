@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -106,10 +105,9 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         data, offsets = tv.flat(texts)
-        low, low_offsets = tv.flat(pc.utf8_lower(texts))
         out = np.empty(len(offsets) - 1)
         for i, j in tv.pieces(offsets):
-            h, doc, terms, owner = terms_of(low[low_offsets[i] : low_offsets[j]], low_offsets[i : j + 1] - low_offsets[i])
+            h, doc, terms, owner = terms_of(*tv.flat(pc.utf8_lower(texts.slice(i, j - i))))
             x = dense_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], h, doc)
             out[i:j] = ((x - self.mean) / self.scale) @ self.weights[:_DENSE]
             if len(self.vocabulary) and len(h):
@@ -216,10 +214,9 @@ def scored(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tupl
         return docs.withColumn("__score", F.lit(None).cast("double")), None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        a = pa.Array.from_pandas(text, type=pa.string())
-        return pd.Series(np.where(text.isna(), np.nan, shared.value.scores(a)), index=text.index)
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(text), mask=text.is_null().to_numpy(zero_copy_only=False))
 
     return docs.withColumn("__score", F.round(score(docs["text"].cast("string")) / GRID) * GRID), model
 

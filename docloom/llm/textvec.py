@@ -66,6 +66,14 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         i = j
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `limit` bytes of text at most; a longer text is a batch of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        for i, j in pieces(spans(sizes), limit):
+            yield batch.slice(i, j - i)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, byte position, index of the text) of each word, in order."""
     n = len(data)
