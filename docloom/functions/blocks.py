@@ -171,8 +171,9 @@ def lex(text: str) -> Iterator[tuple[str, int | None, str | None, str, str | Non
         m = _BULLET.match(text, at)
         if m and (m[3] or _line(text, m.end())[0] == ""):
             end = _list_end(text, at, m)
-            out.append(["list", None, None, text[at:end].rstrip(), None])
-            at = end
+            raw = text[at:end].rstrip()
+            out.append(["list", None, None, raw, None])
+            at += len(raw)  # the line feeds after it are white space of their own
             continue
         if m := _HTML.match(text, at):
             out.append(["html", None, m[0], m[0], None])

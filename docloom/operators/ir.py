@@ -115,7 +115,7 @@ def total_examples(ops: DataFrame) -> DataFrame:
 
 def grouped(long: DataFrame) -> DataFrame:
     """(category, operations): (category, cat_pos, op_pos, op) rows as ordered lists."""
-    return long.groupBy("category").agg(F.min("cat_pos").alias("cat_pos"), F.array_sort(F.collect_list(F.struct("op_pos", "op"))).alias("l")).select("category", "cat_pos", F.transform("l", lambda x: x["op"]).alias("operations"))
+    return long.groupBy("category").agg(F.min("cat_pos").alias("cat_pos"), F.array_sort(F.collect_list(F.struct("op_pos", "op")), lambda x, y: x["op_pos"] - y["op_pos"]).alias("l")).select("category", "cat_pos", F.transform("l", lambda x: x["op"]).alias("operations"))
 
 
 def of_category(groups: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docloom import schema as S
 from docloom.functions import text as X
 from docloom.functions.blocks import lex_frames
 
-_DOC = Window.partitionBy("path").orderBy("pos")
-_BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
-_SO_FAR = _DOC.rowsBetween(Window.unboundedPreceding, 0)
+_BEFORE, _SO_FAR = -1, 0
 _LEVELS = range(1, 7)
 
 
@@ -49,8 +47,13 @@ def block_of(token_type: Column, text: Column, raw: Column, lang: Column) -> Col
     return F.when((token_type != "space") & (token_type != "heading") & kept, block)
 
 
-def _last(level: int, value: Column, window) -> Column:
-    return F.last(F.when(F.col("depth") == level, value), ignorenulls=True).over(window)
+def _rows_to(end: int) -> WindowSpec:
+    """A file's tokens from the first on, up to the row itself or the one before it."""
+    return Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, end)
+
+
+def _last(level: int, value: Column, end: int) -> Column:
+    return F.last(F.when(F.col("depth") == level, value), ignorenulls=True).over(_rows_to(end))
 
 
 def _nearest(below: Column, cols: list[Column]) -> Column:
@@ -79,7 +82,7 @@ def sections(toks: DataFrame) -> DataFrame:
 def section_blocks(toks: DataFrame) -> DataFrame:
     """(path, section_pos, pos, block): what stands before the first heading belongs to it; without headings nothing stays."""
     first = F.min(F.when(F.col("type") == "heading", F.col("pos"))).over(Window.partitionBy("path"))
-    own = F.last(F.when(F.col("type") == "heading", F.col("pos")), ignorenulls=True).over(_SO_FAR)
+    own = F.last(F.when(F.col("type") == "heading", F.col("pos")), ignorenulls=True).over(_rows_to(_SO_FAR))
     block = block_of(F.col("type"), F.col("text"), F.col("raw"), F.col("lang"))
     found = toks.select("path", "pos", "type", F.coalesce(own, first).alias("section_pos"), block.alias("block"))
     return found.where("section_pos is not null and block is not null").select("path", "section_pos", "pos", "block")
@@ -99,7 +102,7 @@ def document_nodes(texts: DataFrame, top_type: str = S.FILE_TOP, map_h2: bool =
     """The trees of (path, text) rows: a top node for each file, then its sections."""
     toks = tokens(texts) if lexed is None else lexed
     heads, content = sections(toks), section_blocks(toks)
-    blocks = content.groupBy("path", "section_pos").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("b"))
+    blocks = content.groupBy("path", "section_pos").agg(F.array_sort(F.collect_list(F.struct("pos", "block")), lambda x, y: x["pos"] - y["pos"]).alias("b"))
     blocks = blocks.select("path", F.col("section_pos").alias("pos"), F.transform("b", lambda b: b["block"]).alias("content"))
     none = F.array().cast(S.NODE["content"].dataType)
     below = heads.join(blocks, ["path", "pos"], "left").select(

@@ -76,8 +76,8 @@ def full(nodes: DataFrame, options: Options) -> DataFrame:
 
 def modular(nodes: DataFrame, options: Options) -> DataFrame:
     """(doc_key, filename, content) of each category right under the top; of equal names the last one stays."""
-    heads = nodes.where((F.col("type") == S.CATEGORY) & (F.size("path") == 1)).select("doc_key", F.col("path")[0].alias("n"), F.col("id").alias("cat_id"), F.col("title").alias("cat_title"), F.col("description").alias("cat_description"))
-    inside = nodes.where(F.size("path") >= 1).withColumn("n", F.col("path")[0]).join(heads.select("doc_key", "n"), ["doc_key", "n"], "left_semi")
+    heads = nodes.where((F.col("type") == S.CATEGORY) & (F.size("path") == 1)).select("doc_key", F.get("path", F.lit(0)).alias("n"), F.col("id").alias("cat_id"), F.col("title").alias("cat_title"), F.col("description").alias("cat_description"))
+    inside = nodes.where(F.size("path") >= 1).withColumn("n", F.get("path", F.lit(0))).join(heads.select("doc_key", "n"), ["doc_key", "n"], "left_semi")
     numbers = F.slice("path", F.lit(2), F.size("path"))
     bodies = inside.select("doc_key", "n", "path", node_text(numbers).alias("t")).groupBy("doc_key", "n").agg(_document())
     title = _title(options)
