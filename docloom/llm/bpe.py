@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
+from docloom.llm.shared import small_batches
 
 #: How the vocabulary's texts were cut into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -193,6 +194,7 @@ def _rows(path: str):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip) of every row; round_trip tells whether decoding gives the text again."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_rows(path), OUT)
 

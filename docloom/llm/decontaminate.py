@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import cut, maybe_broadcast
+from docloom.llm.shared import cut, maybe_broadcast, small_batches
 
 MASKS = ("11111", "110111", "1101011", "11001101", "101001101")
 SHORTEST, MIN_WORDS, MIN_SHARE = 8, 12, 0.8
@@ -181,6 +181,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def overlaps_with(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """The verified overlaps, a row for each document and item (columns of OUT)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")

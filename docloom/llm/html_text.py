@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import cut, maybe_broadcast
+from docloom.llm.shared import cut, maybe_broadcast, small_batches
 from docloom.llm.urls import host_of, path_of
 
 #: Share of a page's text from which on what it has in common with another makes it a copy.
@@ -183,6 +183,7 @@ def shared_lines(rows: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, pair_id, n_lines, n_deleted, text) of every page."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     uid = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "url", "html")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import cut, delete
+from docloom.llm.shared import cut, delete, small_batches
 
 VOCABULARY, RARE = 1024, 32
 CONTEXT = 2
@@ -350,6 +350,7 @@ def scores(tokens: DataFrame, model: Model) -> DataFrame:
 
 def train_and_score(docs: DataFrame) -> DataFrame:
     """A model of all the documents, and each one's log-probability under it."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     words, counts = vocabulary(texts)
     tokens, _ = cut(encoded(docs, words), "tokens")

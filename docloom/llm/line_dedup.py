@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from docloom.llm import textvec as tv
 from docloom.llm.components import components
-from docloom.llm.shared import BROADCAST_ROWS, cut, forest, maybe_broadcast, sorted_runs
+from docloom.llm.shared import BROADCAST_ROWS, cut, forest, maybe_broadcast, small_batches, sorted_runs
 
 MIN_CHARS = 40
 GRAM = 8
@@ -198,6 +198,7 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of each line that an earlier one replaces, and their number."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     names = [f"b{b}" for b in range(BANDS)]
     lines, _ = cut(rows.mapInArrow(_line_rows, "doc_id long, line_no int, line long, " + ", ".join(f"{n} long" for n in names)), "lines")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
+from docloom.llm.shared import small_batches
 
 FIT_DOCS = 6000
 VOCABULARY = 16384
@@ -202,6 +203,7 @@ def preferences(labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[DataFrame, Model | None]:
     """The documents with columns __score and, for a part of the labelled ones, what sets the threshold."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = preferences(labels).where("part = 0").orderBy("h", "doc_id").limit(fit_docs)
     sample = texts.where("doc_id is not null and text is not null").join(F.broadcast(chosen.select("doc_id", "good")), "doc_id")

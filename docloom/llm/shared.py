@@ -15,9 +15,19 @@ from pyspark.sql import functions as F
 #: Rows of a narrow side (an id, or an id and a small array) up to which a join may broadcast it.
 BROADCAST_ROWS = 500_000
 
+#: Rows of a batch that goes to a Python worker: a batch of texts is held several times on both sides.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of this session, unless they are smaller yet."""
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or in local mode a temporary one.
 

@@ -56,7 +56,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `limit` bytes; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

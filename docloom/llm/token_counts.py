@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import cut, maybe_broadcast
+from docloom.llm.shared import cut, maybe_broadcast, small_batches
 
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _RULES = "crlf-to-lf,no-trailing-space,1"
@@ -86,6 +86,7 @@ def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
 
 def counts(docs: DataFrame, path: str, cache: str) -> DataFrame:
     """(doc_id, digest, n_bytes, n_tokens, was_stored) of every row; `cache` is a folder that all executors share."""
+    small_batches(docs.sparkSession)
     spark, version = docs.sparkSession, version_of(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("body"))
     keyed = rows.select("doc_id", digest_of(F.col("body")).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"))
