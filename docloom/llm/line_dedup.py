@@ -237,8 +237,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone, n = duplicate_lines(docs)
     by_doc = gone.groupBy(F.col("doc_id").alias("__gone")).agg(F.collect_set("line_no").alias("__lines"))
-    joined = docs.join(F.broadcast(by_doc) if n <= BROADCAST_ROWS else by_doc, docs["doc_id"].cast("long") == F.col("__gone"), "left")
-    text = F.when(F.col("__lines").isNull(), docs["text"]).otherwise(_without(docs["text"], F.col("__lines")))
-    size = [F.when(F.col("__lines").isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)).alias("n_chars")] if "n_chars" in docs.columns else []
-    kept = joined.where(F.col("__lines").isNull() | (F.length(F.btrim(text, F.lit(" \t\r\n"))) > 0))
+    joined = docs.join(F.broadcast(by_doc) if n <= BROADCAST_ROWS else by_doc, docs["doc_id"].cast("long") == by_doc["__gone"], "left")
+    text = F.when(by_doc["__lines"].isNull(), docs["text"]).otherwise(_without(docs["text"], by_doc["__lines"]))
+    size = [F.when(by_doc["__lines"].isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)).alias("n_chars")] if "n_chars" in docs.columns else []
+    kept = joined.where(by_doc["__lines"].isNull() | (F.length(F.btrim(text, F.lit(" \t\r\n"))) > 0))
     return kept.select(*(text.alias("text") if c == "text" else size[0] if c == "n_chars" else docs[c] for c in docs.columns))
