@@ -1,14 +1,14 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is compared by its lower-cased text with white space trimmed at both ends. Lines of equal text are
-collapsed by hash. Each other line gets a MinHash signature over its 8-byte shingles; bands of it that are
-equal make two lines candidates; candidates are verified by the exact Jaccard similarity of their shingle
-sets; verified pairs are joined by distributed union-find, and the first line of a component (by doc_id,
+collapsed by hash. Each line of at least one shingle gets a MinHash signature over its 8-byte shingles; bands
+of it that are equal make two lines candidates; candidates are verified by the exact Jaccard similarity of
+their shingle sets; verified pairs are joined by distributed union-find, and the first line of a component (by doc_id,
 then line number) stays.
 
-Defined results: lines under MIN_CHARS characters say too little to be judged and stay as they are. A null
-text has no lines. Rows of one doc_id are one document and lose the same line numbers. Rows without a
-doc_id are left alone. A document whose every line with text goes is dropped by `dedup_lines`, one that was
+Defined results: lines of white space are no text and stay as they are. A line too short for a shingle is
+compared by its whole text only. A null text has no lines. Rows of one doc_id are one document and lose the
+same line numbers. Rows without a doc_id are left alone. A document whose every line with text goes is dropped by `dedup_lines`, one that was
 empty before is kept.
 """
 
@@ -28,7 +28,6 @@ from docloom.llm import textvec as tv
 from docloom.llm.components import components
 from docloom.llm.shared import BROADCAST_ROWS, cut, forest, maybe_broadcast, small_batches, sorted_runs
 
-MIN_CHARS = 40
 GRAM = 8
 BANDS, BAND_ROWS = 9, 4
 #: Two lines are one from this share of common shingles on.
@@ -46,10 +45,9 @@ def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     row = pc.list_parent_indices(parts).to_numpy()
     number = np.arange(len(row)) - np.searchsorted(row, np.arange(batch.num_rows))[row]
     text = pc.list_flatten(parts)
-    long = pc.greater_equal(pc.binary_length(text), MIN_CHARS).to_numpy(zero_copy_only=False)
-    row, number, text = row[long], number[long], pc.utf8_trim_whitespace(pc.utf8_lower(text.filter(pa.array(long))))
-    long = pc.greater_equal(pc.utf8_length(text), MIN_CHARS).to_numpy(zero_copy_only=False)
-    return row[long], number[long], text.filter(pa.array(long))
+    text = pc.utf8_trim_whitespace(pc.utf8_lower(text))
+    some = pc.greater(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    return row[some], number[some], text.filter(pa.array(some))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +88,11 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(row):
             continue
         data, offsets = tv.flat(text)
-        keys = bands(data, offsets).view(np.int64)
+        short = np.diff(offsets) < GRAM
+        keys = np.zeros((len(row), BANDS), np.int64)
+        keys[~short] = bands(*tv.flat(text.filter(pa.array(~short)))).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(_hashes(data, offsets)), *(pa.array(keys[:, b]) for b in range(BANDS))],
+            [batch.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(_hashes(data, offsets)), *(pa.array(keys[:, b], mask=short) for b in range(BANDS))],
             ["doc_id", "line_no", "line", *(f"b{b}" for b in range(BANDS))],
         )
 
@@ -203,7 +203,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, int]:
     names = [f"b{b}" for b in range(BANDS)]
     lines, _ = cut(rows.mapInArrow(_line_rows, "doc_id long, line_no int, line long, " + ", ".join(f"{n} long" for n in names)), "lines")
     # the same text has the same bands, so any row of it can lend them
-    banded = lines.groupBy("line").agg(*(F.min(n).alias(n) for n in names)).select("line", F.explode(F.array(*names)).alias("key"))
+    banded = lines.groupBy("line").agg(*(F.min(n).alias(n) for n in names)).select("line", F.explode(F.array(*names)).alias("key")).where("key is not null")
     crowded, _ = cut(banded.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_crowded_rows, "line long, key long"), "crowded")
     ids = crowded.select("line").distinct()
     bodies = rows.mapInArrow(_text_rows(_filter_of(crowded.select("line"), ids.count())), "line long, body string").groupBy("line").agg(F.first("body").alias("body"))

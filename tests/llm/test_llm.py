@@ -205,6 +205,14 @@ def test_lines(spark, awkward, empty):
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.dedup_lines(awkward).where("doc_id = 6").count() == 0
 
 
+def test_short_lines(spark):
+    """Repeats of any length go, near copies as far as there are shingles; white space is no line."""
+    rows = [(1, "a\nmenu of the site\n \n", None), (2, "Menu of the site \nb\n \n", None), (3, "a\nthe terms of use of this site\n", None), (4, "é\nthe terms of use of this site.\né", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in line_dedup.duplicate_lines(docs)[0].collect()} == {(2, 0, 1, 1), (3, 0, 1, 0), (4, 1, 3, 1), (4, 2, 4, 0)}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "b\n \n", 3: "the terms of use of this site\n", 4: "é"}
+
+
 def test_pipeline(spark, awkward, empty, docs):
     """The stages one by one, each against what its operator says about its own input."""
     labels, bench = table(spark, DATA, "labels"), table(spark, DATA, "benchmark")
