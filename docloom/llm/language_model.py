@@ -6,10 +6,14 @@ plus its bias. Training tells tokens of the corpus from tokens drawn from the un
 sum over the vocabulary is needed. Scoring is normalised over the whole vocabulary: products of matrices of
 contexts with the output vectors give the sums, and a worker keeps the sum of each context it has met.
 
-The vocabulary is the VOCABULARY - RARE most frequent words of the whole corpus; other words share RARE
-classes by hash. Every round each task trains on all tokens of its partition from the same start, and the
-mean of the tasks' parameters, weighted by tokens, is the next start; what is exchanged grows with the
-corpus, what the driver holds is one model.
+Words have probabilities in two steps. The network's tokens are the VOCABULARY - RARE most frequent words of the
+whole corpus and RARE classes by hash of all others; a word of a class has the class's probability times the
+word's share of the class's occurrences in the corpus, so the probabilities of all words of the corpus add up to
+1 in every context. The counts of all words are kept as a table: shares of up to `most` words (the most frequent
+ones) are sent to the workers, those of the others are joined by word. What a context says of a rare word is
+what it says of its class. Every round each task trains on all tokens of its partition from the same start, and
+the mean of the tasks' parameters, weighted by tokens, is the next start; what is exchanged grows with the
+corpus, what the driver holds is one model and `most` shares.
 
 Defined results: a null text has null scores; a text without words has 0 tokens, log_prob 0 and a null mean.
 Rows repeat as often as they come, with the same score each, and teach the model as often. An empty corpus
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import cut, delete, small_batches
+from docloom.llm.shared import BROADCAST_ROWS, cut, delete, small_batches
 
 VOCABULARY, RARE = 1024, 32
 CONTEXT = 2
@@ -207,14 +211,25 @@ class Words:
         return np.where(self.hashes[at] == h, self.tokens[at], rare)
 
 
+def word_counts(texts: DataFrame) -> tuple[DataFrame, str]:
+    """(word, n) for every word of the corpus by hash, and the folder of that table."""
+    return cut(texts.mapInArrow(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
 def vocabulary(texts: DataFrame) -> tuple[Words, np.ndarray]:
     """The words that have tokens of their own, and every token's count; all words of the corpus are counted."""
-    counted, path = cut(texts.mapInArrow(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counted, path = word_counts(texts)
+    out = _tokens_from(counted)
+    delete(texts.sparkSession, path)
+    return out
+
+
+def _tokens_from(counted: DataFrame) -> tuple[Words, np.ndarray]:
     top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).toArrow()
     word, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(word)
     words = Words(word[order], order)
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    shared = counted.sparkSession.sparkContext.broadcast(words)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(word) + RARE, np.int64)
@@ -225,10 +240,43 @@ def vocabulary(texts: DataFrame) -> tuple[Words, np.ndarray]:
     classes = counted.mapInArrow(rare, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     rest = np.zeros(RARE, np.int64)
     rest[classes["class"].to_numpy()] = classes["n"].to_numpy()
-    delete(texts.sparkSession, path)
     return words, np.concatenate([n, rest])
 
 
+@dataclass
+class Shares:
+    """Logarithms of words' shares of their classes, by hash, sorted; words with a token of their own have 0."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+
+    def split(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the logarithm of each word's share, 0 where it isn't here; whether it is here)."""
+        if not len(self.hashes):
+            return np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        there = self.hashes[at] == h
+        return np.where(there, self.logs[at], 0.0), there
+
+
+def frequent_shares(counted: DataFrame, words: Words, counts: np.ndarray, most: int = BROADCAST_ROWS) -> Shares:
+    """The shares of the words of the highest counts, all words of a count or none, `most` of them at most; and of those with tokens."""
+    sizes = counted.groupBy("n").agg(F.count("*").alias("words")).toArrow()
+    n, size = sizes["n"].to_numpy(), sizes["words"].to_numpy()
+    order = np.argsort(-n)
+    fit = n[order][size[order].cumsum() <= most]
+    word, n = words.hashes, np.zeros(0, np.int64)
+    if len(fit):
+        some = counted.where(F.col("n") >= int(fit[-1])).toArrow()
+        word, n = some["word"].to_numpy().view(np.uint64), some["n"].to_numpy()
+        own = np.isin(word, words.hashes)
+        word, n = np.concatenate([words.hashes, word[~own]]), n[~own]
+    head = len(words.hashes)
+    logs = np.concatenate([np.zeros(head), np.log(n / counts[words.encode(word[head:])])])
+    order = np.argsort(word)
+    return Shares(word[order], logs[order])
+
+
 def _token_rows(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.parts(batches):
@@ -313,7 +361,7 @@ def _known_sums(model: Model) -> np.ndarray:
     return _sums[name]
 
 
-def _score_rows(shared):
+def _score_rows(shared, more: tuple[str, ...] = ()):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         v, known = len(model.after), _known_sums(model)
@@ -331,7 +379,8 @@ def _score_rows(shared):
                 n[i:j], total[i:j] = np.diff(offsets), sums[offsets[1:]] - sums[offsets[:-1]]
             there = batch.column("tokens").is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, mask=~there), pa.array(total, mask=~there), pa.array(total / np.maximum(n, 1), mask=~there | (n == 0))], [x.split()[0] for x in OUT.split(", ")]
+                [batch.column("doc_id"), pa.array(n, mask=~there), pa.array(total, mask=~there), pa.array(total / np.maximum(n, 1), mask=~there | (n == 0)), *map(batch.column, more)],
+                [*(x.split()[0] for x in OUT.split(", ")), *more],
             )
 
     return rows
@@ -348,10 +397,44 @@ def scores(tokens: DataFrame, model: Model) -> DataFrame:
     return tokens.mapInArrow(_score_rows(tokens.sparkSession.sparkContext.broadcast(model)), OUT)
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
+def _shared_rows(shared, shares):
+    """Token rows with the sum of the logarithms of the shares that are known here, and the words whose shares are not."""
+    encode = _token_rows(shared)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tv.parts(batches):
+            known, rest, ends, size = [], [], [np.zeros(1, np.int64)], 0
+            for _, _, h, at in _hashes(batch.column("text")):
+                log, there = shares.value.split(h)
+                sums = np.concatenate(([0.0], log.cumsum()))
+                known.append(sums[at[1:]] - sums[at[:-1]])
+                rest.append(h[~there])
+                ends.append(tv.spans(~there)[at[1:]] + size)
+                size += len(rest[-1])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate([*rest, np.zeros(0, np.uint64)]).view(np.int64)))
+            tokens = pa.Table.from_batches(list(encode(iter([batch])))).column("tokens").combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), tokens, pa.array(np.concatenate([*known, np.zeros(0)])), lists], ["row", "doc_id", "tokens", "known", "rest"])
+
+    return rows
+
+
+def train_and_score(docs: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A model of all the documents, and each one's log-probability under it."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    words, counts = vocabulary(texts)
-    tokens, _ = cut(encoded(docs, words), "tokens")
-    return scores(tokens, train(tokens, counts))
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counted, _ = word_counts(texts.select("text").where("text is not null"))
+    words, counts = _tokens_from(counted)
+    shared, shares = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(frequent_shares(counted, words, counts, most))
+    # the id only has to tell the rows that are written apart
+    rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_shared_rows(shared, shares), "row long, doc_id long, tokens binary, known double, rest array<long>")
+    tokens, _ = cut(rows, "tokens")
+    classes = spark.createDataFrame([(k, int(n)) for k, n in enumerate(counts[len(words.hashes) :])], "class int, total long")
+    # hashes are unsigned and RARE divides 2**64, so the positive remainder is the class
+    share = counted.join(F.broadcast(classes), F.pmod("word", F.lit(RARE)) == F.col("class")).select("word", F.log(F.col("n") / F.col("total")).alias("log"))
+    looked_up = tokens.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    tail = looked_up.join(share, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("tail"))
+    model = train(tokens, counts)
+    by_class = tokens.select("row", "doc_id", "tokens", "known").mapInArrow(_score_rows(spark.sparkContext.broadcast(model), ("row", "known")), OUT + ", row long, known double")
+    log_prob = F.col("log_prob") + F.col("known") + F.coalesce("tail", F.lit(0.0))
+    return by_class.join(tail, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))

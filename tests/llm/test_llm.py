@@ -78,6 +78,22 @@ def test_language_model(spark, awkward, empty):
     assert np.isclose(sum(scored.values()), p.sum(dtype=np.float64), rtol=1e-4)
 
 
+def test_rare_words(spark):
+    """The probabilities of all words of the corpus add up to 1, wherever their shares come from, and grow with their counts."""
+    words = {f"w{i}": 1 + i % 3 for i in range(3000)}
+    rows = [(i, w) for i, (w, n) in enumerate(words.items()) for _ in range(n)] + [(5000, "w7 w8"), (5001, None), (None, "w9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sums = []
+    for most in (1 << 20, 1500, 0):
+        got = language_model.train_and_score(docs, most).collect()
+        assert len(got) == len(rows)
+        p = {r.doc_id: r.log_prob for r in got}
+        assert np.isclose(sum(np.exp(p[i]) for i in range(3000)), 1, atol=1e-3)
+        assert np.isclose(p[None], p[9]) and p[5001] is None
+        sums.append(np.array([p[i] for i in range(3000)]))
+    assert np.allclose(sums[0], sums[1], atol=1e-3) and np.allclose(sums[0], sums[2], atol=1e-3)
+
+
 def test_urls(spark):
     listed = spark.createDataFrame([("a.com/",), ("b.com/x",), (None,), ("",), ("b.com/x",), ("b.com/x/",)], "entry string")
     cases = {"http://WWW.A.com:80/q?utm_source=1#f": "a.com/", "https://m.a.com": "a.com/", "http://b.com/x/": "b.com/x/", "http://b.com/x/y?z=1": "b.com/x/", "http://b.com/xy": None, "nohost": None, None: None, "": None, "http://c.com/a.com/": None}
