@@ -10,8 +10,11 @@ Pairs are found without gathering a host anywhere: lines are ranked by (host, li
 order) over range partitions, which may end within a host and within a line's run; the runs are joined over
 the ends of partitions. Only hashes of lines are exchanged; texts are cut again where the page lies.
 
-A page that shares more than COPY_SHARE of its text with another is a copy of that page, which says nothing
-about the host's template; such a page is no pair for it and the next one named is taken.
+A copy of a page says nothing about the host's template and is no pair for it. A page that shares more than
+COPY_SHARE of its text with another is a copy of that page, unless it is a short page of the other's template:
+what they share is less of the other's text, and it is not the page's body, the lines that at most FEW pages of
+the table have. Copies are grouped transitively, and a line whose nearest page is in the group of its own
+page names the next page in the line's run that isn't. If that one turns out to be a copy too, it is no pair.
 
 Defined results: a null html has a null text; an empty page, or one of markup only, an empty text. A page
 without a pair (a null or hostless URL, a host with one page, nothing shared) keeps all lines. Repeated rows
@@ -32,11 +35,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
+from docloom.llm.components import components
 from docloom.llm.shared import cut, maybe_broadcast, small_batches
 from docloom.llm.urls import host_of, path_of
 
-#: Share of a page's text from which on what it has in common with another makes it a copy.
+#: Share of a page's text, and of its body, from which on what it has in common with another makes it a copy.
 COPY_SHARE = 0.75
+#: Pages of the table that a line of a body is on at most: templates are on more, copies of one page seldom are.
+FEW = 3
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"</?(?:a|abbr|b|bdi|bdo|cite|code|data|dfn|em|font|i|kbd|label|mark|q|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<(?:/?[A-Za-z][^>]*|![^>]*|\?[^>]*)>")
@@ -147,13 +153,44 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(occurrences: DataFrame) -> DataFrame:
-    """(a, b, size) for neighbours in the runs of (key, place, size) rows, which may be longer than a partition."""
+    """(key, a, b, size) for neighbours in the runs of (key, place, size) rows, which may be longer than a partition."""
     ranged = occurrences.repartitionByRange("key", "place").sortWithinPartitions("key", "place")
     found, _ = cut(ranged.mapInArrow(_neighbours, "kind int, part int, key long, a long, b long, size long"), "links")
     # two rows for each partition: joining the runs over their ends takes one small window
     ends = found.where("kind > 0").withColumn("up", F.lag(F.struct("part", "key", "a")).over(Window.orderBy("part", "kind")))
-    over = ends.where("kind = 1 and up.part <> part and up.key = key").select("a", F.col("up.a").alias("b"), "size")
-    return found.where("kind = 0").select("a", "b", "size").unionByName(over).unionByName(over.select(F.col("b").alias("a"), F.col("a").alias("b"), "size"))
+    over = ends.where("kind = 1 and up.part <> part and up.key = key").select("key", "a", F.col("up.a").alias("b"), "size")
+    return found.where("kind = 0").select("key", "a", "b", "size").unionByName(over).unionByName(over.select("key", F.col("b").alias("a"), F.col("a").alias("b"), "size"))
+
+
+def _past_copies(links: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """The links, those within a group of copies moved on along their run to the next page outside it.
+
+    All pages that a link skips are in its page's group, so the pages it meets have skipped as many: rounds
+    grow with the logarithm of the number of copies.
+    """
+    group = maybe_broadcast(roots, n)
+
+    def marked(some: DataFrame) -> DataFrame:
+        of = lambda end: group.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
+        both = some.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return cut(both.select("key", "a", "b", "size", (F.coalesce("of_a", "a") == F.coalesce("of_b", "b")).alias("stuck")), "links")[0]
+
+    now = marked(links)
+    done, stuck = now.where("not stuck").drop("stuck"), now.where("stuck").drop("stuck")
+    while stuck.limit(1).count():
+        on = done.unionByName(stuck).select("key", F.col("a").alias("b"), F.col("b").alias("c"))
+        now = marked(stuck.join(on, ["key", "b"]).where("(b > a) = (c > b)").select("key", "a", F.col("c").alias("b"), "size"))
+        done, stuck = done.unionByName(now.where("not stuck").drop("stuck")), now.where("stuck").drop("stuck")
+    return done
+
+
+def _votes(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(a, b, votes, copy) for each page b that lines of a name; the sizes of lines of a body are negative."""
+    votes = links.groupBy("a", "b").agg(F.count("*").alias("votes"), F.sum(F.abs("size")).alias("common"), F.sum(F.greatest(-F.col("size"), F.lit(0))).alias("both"))
+    met = votes.join(pages.select(F.col("place").alias("a"), "total", "body"), "a").join(pages.select(F.col("place").alias("b"), F.col("total").alias("other")), "b")
+    most = lambda c: F.col("common") > COPY_SHARE * F.col(c)
+    copy = most("total") & (most("other") | (F.col("body") == 0) | (F.col("both") > COPY_SHARE * F.col("body")))
+    return cut(met.select("a", "b", "votes", copy.alias("copy")), "votes")[0]
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +207,17 @@ def shared_lines(rows: DataFrame) -> DataFrame:
     # the id grows along the sorted partitions, so it is the place in URL order
     placed = lined.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     pages, _ = cut(placed.select("place", "page_id", "uid", F.xxhash64("host").alias("host"), "hashes", "lines", "sizes"), "page-lines")
-    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)
-    seen = pages.select("place", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("l")).select(F.xxhash64("host", "l.lines").alias("key"), "place", F.col("l.sizes").alias("size"))
-    votes = _links(seen).groupBy("a", "b").agg(F.count("*").alias("votes"), F.sum("size").alias("common"))
-    named = votes.join(pages.select(F.col("place").alias("a"), total.alias("total")), "a").where(F.col("common") <= COPY_SHARE * F.col("total"))
+    each = pages.select("place", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("l")).select("place", "host", F.col("l.lines").alias("line"), F.col("l.sizes").alias("size"))
+    rare = each.groupBy("line").count().where(F.col("count") <= FEW).select("line", F.lit(-1).alias("sign"))
+    seen, _ = cut(each.join(rare, "line", "left").select(F.xxhash64("host", "line").alias("key"), "place", (F.col("size") * F.coalesce("sign", F.lit(1))).alias("size")), "page-keys")
+    sums = seen.groupBy("place").agg(F.sum(F.abs("size")).alias("total"), F.sum(F.greatest(-F.col("size"), F.lit(0))).alias("body"))
+    sums, _ = cut(sums, "page-sizes")
+    links = _links(seen)
+    named = _votes(links, sums)
+    copies = named.where("copy").select("a", "b")
+    if copies.limit(1).count():
+        named = _votes(_past_copies(links, *components(copies)), sums)
+    named = named.where("not copy")
     near = F.struct("votes", (F.col("b") < F.col("a")).alias("earlier"), F.when(F.col("b") < F.col("a"), F.col("b")).otherwise(-F.col("b")).alias("near"))
     pairs = named.groupBy("a").agg(F.max_by("b", near).alias("b"))
     mine = pages.select(F.col("place").alias("a"), "uid", "hashes")

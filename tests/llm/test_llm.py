@@ -146,6 +146,19 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies(spark):
+    """A stub finds the template that is most of its text, and copies in a row find the page after them."""
+    frame = lambda name, body: f"<ul><li>{name} home of the menu<li>{name} news of the menu</ul><p>{body}</p><div>{name} advertisement</div><footer>{name} terms of use</footer>"
+    same = prose(40, 700)
+    bodies = [prose(60, 600), "a stub", prose(60, 601), same, same, same, same, same, prose(60, 602)]
+    rows = [(i, f"http://h.com/p/{i}", frame("one", b)) for i, b in enumerate(bodies)]
+    alone = [(20 + i, f"http://copies.com/{i}", frame("two", prose(40, 701))) for i in range(5)]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows + alone, "page_id long, url string, html string")).collect()}
+    assert [got[i].text for i in range(9)] == bodies and all(got[i].n_deleted == 4 for i in range(9))
+    assert got[4].pair_id in (2, 8) and got[5].pair_id in (2, 8)
+    assert all(got[r[0]].pair_id is None and got[r[0]].n_deleted == 0 for r in alone)
+
+
 def test_token_counts(spark, awkward, empty, tmp_path):
     enc, cache = token_counts.encoding(BYTE_BPE), f"file://{tmp_path}/cache"
     want = sorted((r[0] or 0, -1 if r[1] is None else len(enc.encode_ordinary(r[1].rstrip(" \t\n")))) for r in AWKWARD)
