@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is compared by its lower-cased text with white space trimmed at both ends. Lines of equal text are
-collapsed by hash. Each line of at least one shingle gets a MinHash signature over its 8-byte shingles; bands
+collapsed by hash. Each line of at least one shingle gets a MinHash signature over its 4-byte shingles; bands
 of it that are equal make two lines candidates; candidates are verified by the exact Jaccard similarity of
 their shingle sets; verified pairs are joined by distributed union-find, and the first line of a component (by doc_id,
 then line number) stays.
@@ -28,10 +28,11 @@ from docloom.llm import textvec as tv
 from docloom.llm.components import components
 from docloom.llm.shared import BROADCAST_ROWS, cut, forest, maybe_broadcast, small_batches, sorted_runs
 
-GRAM = 8
-BANDS, BAND_ROWS = 9, 4
+GRAM = 4
+#: At MIN_JACCARD two lines share a band with probability 0.96.
+BANDS, BAND_ROWS = 18, 5
 #: Two lines are one from this share of common shingles on.
-MIN_JACCARD = 0.75
+MIN_JACCARD = 0.7
 #: Bits of the filter that keeps lines without candidates out of the second pass; over this it is left out.
 FILTER_BYTES = 16 << 20
 _rng = np.random.default_rng(77)

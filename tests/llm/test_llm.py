@@ -242,6 +242,22 @@ def test_short_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "b\n \n", 3: "the terms of use of this site\n", 4: "é"}
 
 
+def test_edited_lines(spark):
+    """One character changed inside a line of 40 to 62, or one word of twelve: near copies; other lines stay."""
+    r, texts, edited = random.Random(9), [], []
+    for k in range(80):
+        words = r.choices(WORDS, k=12)
+        while k % 2 and len(" ".join(words)) > 62:
+            words.pop()
+        new = list(words)
+        new[len(words) // 2] = "7" + new[len(words) // 2][1:] if k % 2 else "xyzuvw"
+        texts.append(" ".join(words))
+        edited.append(" ".join(new))
+    found = line_dedup.duplicate_lines(spark.createDataFrame([(1, "\n".join(texts)), (2, "\n".join(edited))], "doc_id long, text string"))[0].collect()
+    assert all(tuple(x) == (2, x.line_no, 1, x.line_no) for x in found)
+    assert sum(x.line_no % 2 == 0 for x in found) >= 36 and sum(x.line_no % 2 for x in found) >= 36
+
+
 def test_pipeline(spark, awkward, empty, docs):
     """The stages one by one, each against what its operator says about its own input."""
     labels, bench = table(spark, DATA, "labels"), table(spark, DATA, "benchmark")
