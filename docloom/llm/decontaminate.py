@@ -91,7 +91,7 @@ class Items:
         self.ids, self.words = ids, [w[at[i] : at[i + 1]] if long[i] else w[:0] for i in range(len(ids))]
         size = np.array([len(x) for x in self.words])
         flat, at = np.concatenate([*self.words, np.zeros(0, np.uint64)]), tv.spans(size)
-        h, pos = zip(*seeds(flat, at), strict=True) if len(flat) >= len(MASKS[-1]) else ((np.zeros(0, np.uint64),), (np.zeros(0, np.int64),))
+        h, pos = zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *seeds(flat, at), strict=True)
         h, pos = np.concatenate(h), np.concatenate(pos)
         order = np.argsort(h, kind="stable")
         self.hash, pos = h[order], pos[order]

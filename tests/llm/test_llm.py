@@ -222,6 +222,15 @@ def test_decontaminate(spark, awkward, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0 and decontaminate.decontaminate(awkward, bench.limit(0)).count() == len(AWKWARD)
 
 
+def test_smallest_benchmark(spark):
+    """One item of the least length is found on both paths."""
+    item = prose(decontaminate.SHORTEST, 800)
+    docs = spark.createDataFrame([(1, f"{prose(30, 801)} {item} {prose(30, 802)}"), (2, prose(60, 803))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        assert [(r.doc_id, r.item_id) for r in decontaminate.overlaps_with(docs, bench, most).collect()] == [(1, 1)]
+
+
 def test_lines(spark, awkward, empty):
     line = prose(20, 7)
     near = line + " it"
