@@ -1,15 +1,25 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is compared by its lower-cased text with white space trimmed at both ends. Lines of equal text are
-collapsed by hash. Each line of at least one shingle gets a MinHash signature over its 4-byte shingles; bands
-of it that are equal make two lines candidates; candidates are verified by the exact Jaccard similarity of
-their shingle sets; verified pairs are joined by distributed union-find, and the first line of a component (by doc_id,
-then line number) stays.
+collapsed by a hash of 128 bits. Each other line gets a MinHash signature over its byte shingles; bands of it
+that are equal make two lines candidates; candidates are verified by the exact Jaccard similarity of their
+shingle sets; verified pairs are joined by distributed union-find, and the first line of a component (by
+doc_id, then line number) stays.
+
+Shingles have 4 bytes where one of the two lines is short (under LONG bytes) and the other not much longer
+(under NEAR bytes, past which lengths alone rule MIN_JACCARD out for lines that don't repeat themselves), and
+8 bytes where both are LONG or more. Long unrelated lines of a language have many runs of 4 bytes in common,
+so that with them every line would meet a share of all others; few changed words replace few runs of 8.
+
+A band with more than HOT lines is split by hash of the line, and every two parts of it are compared in a
+task of their own. Within a part, pairs that cannot be similar enough are ruled out by an upper bound from
+bit sets of their shingles, and lines that are joined already aren't compared with each other again.
 
 Defined results: lines of white space are no text and stay as they are. A line too short for a shingle is
-compared by its whole text only. A null text has no lines. Rows of one doc_id are one document and lose the
-same line numbers. Rows without a doc_id are left alone. A document whose every line with text goes is dropped by `dedup_lines`, one that was
-empty before is kept.
+compared by its whole text only. A null text has no lines. Rows of one doc_id and one text are one document
+and lose the same lines; rows of one doc_id with other texts are documents of their own. Rows without a
+doc_id that is a whole number are left alone. A document whose every line with text goes is dropped by
+`dedup_lines`, one that was empty before is kept.
 """
 
 from __future__ import annotations
@@ -17,27 +27,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.llm import textvec as tv
 from docloom.llm.components import components
-from docloom.llm.shared import BROADCAST_ROWS, cut, forest, maybe_broadcast, small_batches, sorted_runs
+from docloom.llm.shared import cut, forest, free_name, ids_and_texts, maybe_broadcast, small_batches, sorted_runs, whole_id
 
-GRAM = 4
+GRAM, LONG_GRAM = 4, 8
+LONG, NEAR = 96, 138
 #: At MIN_JACCARD two lines share a band with probability 0.96.
 BANDS, BAND_ROWS = 18, 5
 #: Two lines are one from this share of common shingles on.
 MIN_JACCARD = 0.7
-#: Bits of the filter that keeps lines without candidates out of the second pass; over this it is left out.
+#: Lines of a band from which on it is split.
+HOT = 20_000
+#: Bytes that the filter of lines with candidates has at most; with more lines it only lets more others pass.
 FILTER_BYTES = 16 << 20
+#: Lines that a task remembers, so as not to band them again.
+MEMO = 1 << 20
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 2**32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(1, 2**32, BANDS * BAND_ROWS, dtype=np.uint32)
+_ID = np.uint64((1 << 44) - 1)
 
 
 def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -51,82 +65,103 @@ def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return row[some], number[some], text.filter(pa.array(some))
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all shingles, offsets by line); lines have GRAM bytes at least."""
-    h = tv.grams(data, GRAM)
-    count = np.diff(offsets) - (GRAM - 1)
+def shingles(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all shingles, offsets by line); lines have `gram` bytes at least."""
+    h = tv.grams(data, gram)
+    count = np.diff(offsets) - (gram - 1)
     at = tv.spans(count)
-    inside = np.arange(at[-1]) + np.repeat(np.arange(len(count)) * (GRAM - 1), count)
+    inside = np.arange(at[-1]) + np.repeat(np.arange(len(count)) * (gram - 1), count)
     return h[inside], at
 
 
-def bands(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def bands(data: np.ndarray, offsets: np.ndarray, gram: int) -> np.ndarray:
     """lines x BANDS hashes of the bands of the MinHash signatures."""
     out = np.empty((len(offsets) - 1, BANDS), np.uint64)
     for i, j in tv.pieces(offsets, 1 << 17):
-        h, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        h, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], gram)
         h = (h >> np.uint64(32)).astype(np.uint32)
         starts = at[:-1]
         for b in range(BANDS):
-            key = np.full(j - i, b + 1, np.uint64)
+            key = np.full(j - i, (b + 1) * 16 + gram, np.uint64)
             for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
                 v = h * _MUL[r]
                 v ^= _ADD[r]
                 key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, starts)
             out[i:j, b] = tv.mix(key)
-    return out
+    # the last bit tells the kind of the shingles
+    return (out & ~np.uint64(1)) | np.uint64(gram == LONG_GRAM)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets of hashes."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(1, len(a) + len(b) - common)
+def families(length: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bytes of a shingle, whether a line of this length is banded by such shingles)."""
+    return [(GRAM, (length >= GRAM) & (length < NEAR)), (LONG_GRAM, length >= LONG)]
+
+
+def _hashes(text: pa.Array, second: bool = False) -> np.ndarray:
+    data, offsets = tv.flat(text)
+    out = np.empty(len(offsets) - 1, np.uint64)
+    for i, j in tv.pieces(offsets):
+        out[i:j] = tv.text_hash(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], second)
+    return out.view(np.int64)
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tv.parts(batches):
         row, number, text = lines_of(batch)
-        if not len(row):
-            continue
-        data, offsets = tv.flat(text)
-        short = np.diff(offsets) < GRAM
-        keys = np.zeros((len(row), BANDS), np.int64)
-        keys[~short] = bands(*tv.flat(text.filter(pa.array(~short)))).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(_hashes(data, offsets)), *(pa.array(keys[:, b], mask=short) for b in range(BANDS))],
-            ["doc_id", "line_no", "line", *(f"b{b}" for b in range(BANDS))],
-        )
+        if len(row):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("doc_id", "copy")), pa.array(number.astype(np.int32)), pa.array(_hashes(text)), pa.array(_hashes(text, True))], ["doc_id", "copy", "line_no", "h1", "h2"])
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = np.empty(len(offsets) - 1, np.uint64)
-    for i, j in tv.pieces(offsets):
-        out[i:j] = tv.text_hash(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-    return out.view(np.int64)
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bands of the lines that this task hasn't met before."""
+    met: set[int] = set()
+    for batch in tv.parts(batches):
+        _, _, text = lines_of(batch)
+        h, first = np.unique(_hashes(text), return_index=True)
+        new = np.fromiter((x not in met for x in h.tolist()), bool, len(h))
+        h, text = h[new], text.take(pa.array(first[new]))
+        if len(met) > MEMO:
+            met.clear()
+        met.update(h.tolist())
+        length = pc.binary_length(text).to_numpy()
+        for gram, own in families(length):
+            if own.any():
+                keys = bands(*tv.flat(text.filter(pa.array(own))), gram)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(h[own], BANDS))], ["key", "line"])
 
 
 def _crowded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of bands that hold more than one line."""
-    for table, starts in sorted_runs(batches):
-        size = np.diff(starts)
-        keep = np.repeat(size > 1, size)
-        if keep.any():
-            yield from table.filter(pa.array(keep)).to_batches()
-
-
-def _text_rows(bits: np.ndarray | None):
+    """Once each, the members of bands that hold more than one line, from rows sorted by (key, line); only one row is held back."""
+    held: tuple[int, int] | None = None
+    shown = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, line = (batch.column(c).to_numpy() for c in ("key", "line"))
+        if held is not None:
+            key, line = np.concatenate(([held[0]], key)), np.concatenate(([held[1]], line))
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
+        key, line = key[fresh], line[fresh]
+        same = key[1:] == key[:-1]
+        emit = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        if held is not None and shown:
+            emit[0] = False
+        # the last row waits for the next batch, unless it is out already
+        shown = bool(emit[-1]) if len(key) > 1 or held is None else shown
+        held = int(key[-1]), int(line[-1])
+        if emit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(line[emit]), pa.array(key[emit])], ["line", "key"])
+
+
+def _text_rows(bits: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.parts(batches):
             _, _, text = lines_of(batch)
-            if not len(text):
-                continue
-            h = _hashes(*tv.flat(text))
-            if bits is not None:
-                hit = pa.array(_in_filter(bits, h))
-                h, text = h[hit.to_numpy(zero_copy_only=False)], text.filter(hit)
-            if len(h):
-                _, first = np.unique(h, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), text.take(pa.array(first)).cast(pa.string())], ["line", "body"])
+            h, first = np.unique(_hashes(text), return_index=True)
+            hit = _in_filter(bits, h)
+            if hit.any():
+                text = text.take(pa.array(first[hit]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(_hashes(text, True)), text.cast(pa.string())], ["h1", "h2", "body"])
 
     return rows
 
@@ -143,11 +178,9 @@ def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (test(one) & test(two)).astype(bool)
 
 
-def _filter_of(ids: DataFrame, n: int) -> np.ndarray | None:
-    """A Bloom filter of the ids, built by partial filters in the tasks; None where it would be too large."""
-    n_bytes = 1 << max(10, int(np.ceil(np.log2(max(1, n) * 10 / 8))))
-    if n_bytes > FILTER_BYTES:
-        return None
+def _filter_of(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the ids, built by partial filters in the tasks."""
+    n_bytes = min(FILTER_BYTES, 1 << max(10, int(np.ceil(np.log2(max(1, n) * 10 / 8)))))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b.column("line").to_numpy() for b in batches]
@@ -163,72 +196,164 @@ def _filter_of(ids: DataFrame, n: int) -> np.ndarray | None:
     return bits.view(np.uint8)
 
 
-def bucket_edges(text: pa.Array, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
-    """Edges between lines of one bucket whose exact Jaccard similarity is high enough."""
+class Sets:
+    """The shingle sets of lines, sorted, as numbers of 44 bits under the number of the line."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gram: int) -> None:
+        h, at = shingles(data, offsets, gram)
+        n = len(offsets) - 1
+        keys = np.sort((np.repeat(np.arange(n, dtype=np.uint64), np.diff(at)) << np.uint64(44)) | (h >> np.uint64(20)))
+        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+        row = (keys >> np.uint64(44)).astype(np.int64)
+        self.values, self.at = keys & _ID, np.searchsorted(row, np.arange(n + 1))
+        self.size = np.diff(self.at)
+
+    def similar(self, p: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Whether the Jaccard similarity of each pair is high enough."""
+        out = np.empty(len(p), bool)
+        both = self.size[p] + self.size[c]
+        for i, j in tv.pieces(tv.spans(both), 1 << 20):
+            pair = np.repeat(np.arange(j - i, dtype=np.uint64), both[i:j])
+            ends = np.stack((p[i:j], c[i:j]), 1).ravel()
+            size = self.size[ends]
+            where = np.arange(size.sum()) + np.repeat(self.at[:-1][ends] - tv.spans(size)[:-1], size)
+            keys = np.sort((pair << np.uint64(44)) | self.values[where])
+            same = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)
+            shared = np.bincount(same.astype(np.int64), minlength=j - i)
+            out[i:j] = shared >= MIN_JACCARD * (both[i:j] - shared)
+        return out
+
+    def bits(self, words: int = 32) -> np.ndarray:
+        """Each set as a set of 64 * words bits."""
+        slot = self.values % np.uint64(64 * words)
+        out = np.zeros((len(self.size), words), np.uint64)
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        np.bitwise_or.at(out, (row, (slot >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (slot & np.uint64(63)))
+        return out
+
+
+def _judged(length: np.ndarray, gram: int, p: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (length[p] < LONG) | (length[c] < LONG) if gram == GRAM else np.ones(len(p), bool)
+
+
+def bucket_edges(text: pa.Array, key: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, as numbers of the lines, between lines of one bucket whose exact Jaccard similarity is high enough."""
+    out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
     data, offsets = tv.flat(text)
-    edges: list[tuple[int, int]] = []
-    for k in np.flatnonzero(np.diff(starts) > 1):
-        lo, hi = int(starts[k]), int(starts[k + 1])
-        own = offsets[lo : hi + 1] - offsets[lo]
-        h, at = shingles(data[offsets[lo] : offsets[hi]], own)
-        sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(hi - lo)]
-
-        def near(some: np.ndarray, others: np.ndarray, sets=sets) -> np.ndarray:
-            size = np.array([len(sets[o]) for o in others])
-            pool = np.concatenate([sets[o] for o in others])
-            cuts = tv.spans(size)[:-1]
-            out = np.empty((len(some), len(others)), bool)
-            for r, s in enumerate(some):
-                mine = sets[s]
-                where = np.minimum(np.searchsorted(mine, pool), len(mine) - 1)
-                common = np.add.reduceat((mine[where] == pool).astype(np.int64), cuts)
-                out[r] = common >= MIN_JACCARD * (size + len(mine) - common)
-            return out
-
-        edges += [(int(ids[lo + a]), int(ids[lo + b])) for a, b in forest(hi - lo, near)]
-    return edges
+    size = np.diff(starts)
+    for g in (GRAM, LONG_GRAM):
+        own = ((key[starts[:-1]] & 1) == (g == LONG_GRAM)) & (size > 1)
+        rows = np.flatnonzero(np.repeat(own, size))
+        if not len(rows):
+            continue
+        length = np.diff(offsets)[rows]
+        ends = np.repeat(tv.spans(size[own])[1:], size[own])
+        begin = tv.spans(size[own])
+        inside = np.arange(length.sum()) + np.repeat(offsets[rows] - tv.spans(length)[:-1], length)
+        sets = Sets(data[inside], tv.spans(length), g)
+        few = np.flatnonzero(np.repeat(size[own] <= 8, size[own]))
+        for step in range(1, 8):
+            p = few[few + step < ends[few]]
+            if not len(p):
+                break
+            c = p + step
+            ok = _judged(length, g, p, c)
+            p, c = p[ok], c[ok]
+            hit = sets.similar(p, c)
+            out.append(rows[np.stack((p[hit], c[hit]), 1)])
+        many = np.flatnonzero(size[own] > 8)
+        bits = sets.bits() if len(many) else None
+        lost = sets.size - np.bitwise_count(bits).sum(1, dtype=np.int64) if len(many) else None
+        for k in many:
+            lo, hi = int(begin[k]), int(begin[k + 1])
+
+            def near(some: np.ndarray, others: np.ndarray, lo=lo) -> np.ndarray:
+                found = np.zeros((len(some), len(others)), bool)
+                o = others + lo
+                for r, s in enumerate(some + lo):
+                    most = np.bitwise_count(bits[s] & bits[o]).sum(1, dtype=np.int64) + np.minimum(lost[s], lost[o])
+                    may = np.flatnonzero((most >= MIN_JACCARD * (sets.size[s] + sets.size[o] - most)) & _judged(length, g, np.full(len(o), s), o))
+                    found[r, may] = sets.similar(np.full(len(may), s), o[may])
+                return found
+
+            tree = np.array(forest(hi - lo, near), np.int64).reshape(-1, 2)
+            out.append(rows[tree + lo])
+    edges = np.concatenate(out)
+    return edges[:, 0], edges[:, 1]
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, starts in sorted_runs(batches):
-        e = bucket_edges(table.column("body").combine_chunks(), table.column("line").to_numpy(), starts)
-        if e:
-            a, b = np.array(e, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, line_no, kept_doc_id, kept_line_no) of each line that an earlier one replaces, and their number."""
+        a, b = bucket_edges(table.column("body").combine_chunks(), table.column("key").to_numpy(), starts)
+        if len(a):
+            h1, h2 = table.column("h1").to_numpy(), table.column("h2").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[a], h2[a], h1[b], h2[b])], ["a1", "a2", "b1", "b2"])
+
+
+def _met(crowded: DataFrame, bodies: DataFrame, hot: int) -> DataFrame:
+    """(key, h1, h2, body) of the candidates, sorted by key; the keys of hot bands are split into those of two parts each."""
+    large = crowded.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    large, _ = cut(large, "hot-bands")
+    n = large.count()
+    met = crowded.join(bodies, F.col("line") == F.col("h1")).select("key", "h1", "h2", "body")
+    if n:
+        part = F.pmod("h2", F.col("parts")).cast("int")
+        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.xxhash64("key", F.least(t, part), F.greatest(t, part)))
+        kind = F.col("key").bitwiseAND(F.lit(1))
+        keys = F.when(F.col("parts").isNull(), F.array("key")).otherwise(F.transform(pair, lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(kind)))
+        met = met.join(maybe_broadcast(large, n), "key", "left").select(F.explode(keys).alias("key"), "h1", "h2", "body")
+    return met.repartition("key").sortWithinPartitions("key", "h1", "h2")
+
+
+def _groups(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(h1, h2, group) of each line with an edge, and their number."""
+    ends = edges.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionByName(edges.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).distinct()
+    # read again from where it is written, so the numbers are the same each time
+    nodes, _ = cut(ends.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
+    n = nodes.count()
+    of = lambda e, c: nodes.select(F.col("h1").alias(f"{e}1"), F.col("h2").alias(f"{e}2"), F.col("id").alias(c))
+    links = edges.join(maybe_broadcast(of("a", "a"), n, 24), ["a1", "a2"]).join(maybe_broadcast(of("b", "b"), n, 24), ["b1", "b2"]).select("a", "b")
+    roots, m = components(links)
+    return nodes.join(maybe_broadcast(roots, m), F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "id").alias("group")), n
+
+
+def _duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, copy, line_no, kept_doc_id, kept_line_no) of each line that an earlier one replaces; copy is a hash of the document's text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    names = [f"b{b}" for b in range(BANDS)]
-    lines, _ = cut(rows.mapInArrow(_line_rows, "doc_id long, line_no int, line long, " + ", ".join(f"{n} long" for n in names)), "lines")
-    # the same text has the same bands, so any row of it can lend them
-    banded = lines.groupBy("line").agg(*(F.min(n).alias(n) for n in names)).select("line", F.explode(F.array(*names)).alias("key")).where("key is not null")
+    rows = ids_and_texts(docs).where("doc_id is not null and text is not null").withColumn("copy", F.xxhash64("text"))
+    lines, _ = cut(rows.mapInArrow(_line_rows, "doc_id long, copy long, line_no int, h1 long, h2 long"), "lines")
+    banded = rows.select("text").mapInArrow(_band_rows, "key long, line long")
     crowded, _ = cut(banded.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_crowded_rows, "line long, key long"), "crowded")
     ids = crowded.select("line").distinct()
-    bodies = rows.mapInArrow(_text_rows(_filter_of(crowded.select("line"), ids.count())), "line long, body string").groupBy("line").agg(F.first("body").alias("body"))
-    met = crowded.join(bodies, "line").select("key", "line", "body").repartition("key").sortWithinPartitions("key", "line")
-    roots, n = components(met.mapInArrow(_edge_rows, "a long, b long"))
-    labelled = lines.select("doc_id", "line_no", "line").join(maybe_broadcast(roots, n), F.col("line") == F.col("node"), "left")
-    labelled = labelled.select("doc_id", "line_no", F.coalesce("root", "line").alias("root"))
-    first = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = labelled.join(first.select("root", "first"), "root").where("doc_id <> first.doc_id or line_no <> first.line_no")
-    out, _ = cut(found.select("doc_id", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no")).distinct(), "line-duplicates")
+    bodies = rows.select("text").mapInArrow(_text_rows(_filter_of(crowded.select("line"), ids.count())), "h1 long, h2 long, body string").groupBy("h1", "h2").agg(F.first("body").alias("body"))
+    edges, _ = cut(_met(crowded, bodies, hot).mapInArrow(_edge_rows, "a1 long, a2 long, b1 long, b2 long"), "line-edges")
+    groups, n = _groups(edges)
+    labelled = lines.join(maybe_broadcast(groups, n, 24), ["h1", "h2"], "left")
+    own = F.col("group").isNull()
+    labelled = labelled.select("doc_id", "copy", "line_no", own.alias("g0"), F.coalesce("group", "h1").alias("g1"), F.when(own, F.col("h2")).otherwise(0).alias("g2"))
+    place = F.struct("doc_id", "line_no", "copy")
+    first = labelled.groupBy("g0", "g1", "g2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = labelled.join(first, ["g0", "g1", "g2"]).where(place != F.col("first"))
+    out, _ = cut(found.select("doc_id", "copy", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no")).distinct(), "line-duplicates")
+    return out
+
+
+def duplicate_lines(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, int]:
+    """(doc_id, line_no, kept_doc_id, kept_line_no) of each line that an earlier one replaces, and their number."""
+    out = _duplicates(docs, hot).drop("copy")
     return out, out.count()
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
-    """The text without the lines of these numbers."""
+def _without(text: pa.Array, lines: pa.Array) -> pa.Array:
+    """The texts without the lines of these numbers; null where there is no text."""
 
-    def one(t: str | None, gone: np.ndarray | None) -> str | None:
-        if t is None or gone is None:
-            return t
-        drop = set(gone.tolist())
+    def one(t: str | None, gone: list[int] | None) -> str | None:
+        if t is None:
+            return None
+        drop = set(gone or ())
         return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
 
-    return pd.Series([one(t, g) for t, g in zip(text, lines, strict=True)], index=text.index, dtype=object)
+    return pa.array([one(t, g) for t, g in zip(text.to_pylist(), lines.to_pylist(), strict=True)], pa.string())
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -236,10 +361,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A document that has lost every line with text is dropped.
     """
-    gone, n = duplicate_lines(docs)
-    by_doc = gone.groupBy(F.col("doc_id").alias("__gone")).agg(F.collect_set("line_no").alias("__lines"))
-    joined = docs.join(F.broadcast(by_doc) if n <= BROADCAST_ROWS else by_doc, docs["doc_id"].cast("long") == by_doc["__gone"], "left")
-    text = F.when(by_doc["__lines"].isNull(), docs["text"]).otherwise(_without(docs["text"], by_doc["__lines"]))
-    size = [F.when(by_doc["__lines"].isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)).alias("n_chars")] if "n_chars" in docs.columns else []
-    kept = joined.where(by_doc["__lines"].isNull() | (F.length(F.btrim(text, F.lit(" \t\r\n"))) > 0))
-    return kept.select(*(text.alias("text") if c == "text" else size[0] if c == "n_chars" else docs[c] for c in docs.columns))
+    gone = _duplicates(docs)
+    key, copy, lines, left = (free_name(docs, f"__{c}") for c in ("gone", "copy", "lines", "left"))
+    by_doc, _ = cut(gone.groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)).agg(F.collect_list("line_no").alias(lines)), "lines-by-document")
+    n, of_lines = by_doc.agg(F.count("*"), F.sum(F.size(lines))).first()
+    small = maybe_broadcast(by_doc, n, 32 + 4 * (of_lines or 0) // max(1, n))
+    text = docs["text"].cast("string")
+    joined = docs.join(small, (whole_id(docs, "doc_id") == small[key]) & (F.xxhash64(text) == small[copy]), "left")
+    # only texts that lose lines go to Python, and once: without the mark the optimiser would repeat the call in the filter
+    without = F.arrow_udf(_without, "string").asNondeterministic()
+    met = joined.withColumn(left, without(F.when(F.col(lines).isNotNull(), text), F.col(lines)))
+    kept = met.where(F.col(left).isNull() | (F.length(F.btrim(left, F.lit(" \t\r\n"))) > 0))
+    new = {"text": F.coalesce(left, text).cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(left).isNull(), docs["n_chars"]).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))

@@ -9,11 +9,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow side (an id, or an id and a small array) up to which a join may broadcast it.
-BROADCAST_ROWS = 500_000
+#: Rows of a narrow side up to which a join may broadcast it, and bytes of its values in all.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
 #: Rows of a batch that goes to a Python worker: a batch of texts is held several times on both sides.
 BATCH_ROWS = 1000
@@ -66,9 +66,26 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a narrow side of known size if it is small; else leave the join to shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
+    """Broadcast a side of known rows, and of `width` bytes of values in the mean row, if it is small; else leave the join to shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * width <= BROADCAST_BYTES else df
+
+
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): ids that are no whole numbers of 64 bits count as null."""
+    return docs.select(whole_id(docs, "doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def whole_id(rows: DataFrame, name: str) -> Column:
+    return rows[name].cast("string").try_cast("long") if rows.schema[name].dataType.typeName() == "string" else rows[name].cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be none of the columns'."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -20,6 +20,9 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _POW_N = 1 << 16
 _POW = np.ones(_POW_N, np.uint64)
 np.multiply.accumulate(np.full(_POW_N - 1, 0x9E3779B97F4A7C15 | 1, np.uint64), out=_POW[1:])
+_BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
+_POW_2 = np.ones(_POW_N, np.uint64)
+np.multiply.accumulate(np.full(_POW_N - 1, 0xD6E8FEB86659FD93, np.uint64), out=_POW_2[1:])
 _MIX1, _MIX2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 #: Bytes that belong to a word: ASCII letters and digits, and every byte of a non-ASCII character.
@@ -114,15 +117,18 @@ def beginnings(data: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -
     return np.concatenate(found) if found else total[:0], np.concatenate(owner) if owner else live[:0]
 
 
-def text_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each text's bytes; 0-length texts share one value."""
+def text_hash(data: np.ndarray, offsets: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each text's bytes, or another one; 0-length texts share one value. A byte's weight depends on its place, however long the text."""
+    byte, power = (_BYTE_2, _POW_2) if second else (_BYTE, _POW)
     out = np.zeros(len(offsets) - 1, np.uint64)
     length = np.diff(offsets)
     full = np.flatnonzero(length)
     if len(full):
         starts = offsets[:-1][full]
         where = np.arange(len(data), dtype=np.int64) - np.repeat(starts, length[full])
-        value = _BYTE[data] * _POW[where & (_POW_N - 1)]
+        value = byte[data] * power[where & (_POW_N - 1)]
+        if length.max() > _POW_N:
+            value *= mix((where >> 16).astype(np.uint64)) | U64(1)
         out[full] = np.add.reduceat(value, starts)
     return mix(out + length.astype(np.uint64) * _MIX2)
 
