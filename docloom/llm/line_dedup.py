@@ -44,6 +44,8 @@ BANDS, BAND_ROWS = 18, 5
 MIN_JACCARD = 0.7
 #: Lines of a band from which on it is split.
 HOT = 20_000
+#: Lines that a band may have to be told by its lines.
+WHOLE = 4096
 #: Bytes that the filter of lines with candidates has at most; with more lines it only lets more others pass.
 FILTER_BYTES = 16 << 20
 #: Lines that a task remembers, so as not to band them again.
@@ -131,26 +133,50 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Once each, the members of bands that hold more than one line, from rows sorted by (key, line); only one row is held back."""
-    held: tuple[int, int] | None = None
-    shown = True
+    """The members of bands that hold more than one line, from rows sorted by (key, line), under a key of their own.
+
+    Bands of the same lines get the same key, from the sum of the lines' hashes, so that lines with many bands
+    in common are compared once. A band of more than WHOLE lines is passed on as it comes, under its band's key.
+    """
+    key, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    passing: int | None = None
+
+    def out(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(k)], ["line", "key"])
+
     for batch in batches:
-        if not batch.num_rows:
+        key, line = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((key, "key"), (line, "line")))
+        if not len(key):
             continue
-        key, line = (batch.column(c).to_numpy() for c in ("key", "line"))
-        if held is not None:
-            key, line = np.concatenate(([held[0]], key)), np.concatenate(([held[1]], line))
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
         key, line = key[fresh], line[fresh]
-        same = key[1:] == key[:-1]
-        emit = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        if held is not None and shown:
-            emit[0] = False
-        # the last row waits for the next batch, unless it is out already
-        shown = bool(emit[-1]) if len(key) > 1 or held is None else shown
-        held = int(key[-1]), int(line[-1])
-        if emit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(line[emit]), pa.array(key[emit])], ["line", "key"])
+        if passing is not None:
+            n = int(np.searchsorted(key, passing, "right"))
+            if n:
+                yield out(key[:n], line[:n])
+            if n == len(key):
+                key, line = key[:0], line[:0]
+                continue
+            key, line, passing = key[n:], line[n:], None
+        last = int(np.searchsorted(key, key[-1]))
+        if last:
+            yield from _named(key[:last], line[:last], out)
+        key, line = key[last:], line[last:]
+        if len(key) > WHOLE:
+            yield out(key, line)
+            passing, key, line = int(key[0]), key[:0], line[:0]
+    if len(key):
+        yield from _named(key, line, out)
+
+
+def _named(key: np.ndarray, line: np.ndarray, out) -> Iterator[pa.RecordBatch]:
+    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    size = np.diff(np.concatenate((starts, [len(key)])))
+    sums = np.add.reduceat(tv.mix(line.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), starts)
+    name = np.where(size > WHOLE, key[starts], ((tv.mix(sums) & ~np.uint64(1)).view(np.int64) | (key[starts] & 1)))
+    keep = np.repeat(size > 1, size)
+    if keep.any():
+        yield out(np.repeat(name, size)[keep], line[keep])
 
 
 def _text_rows(bits: np.ndarray):
@@ -323,7 +349,7 @@ def _duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = ids_and_texts(docs).where("doc_id is not null and text is not null").withColumn("copy", F.xxhash64("text"))
     lines, _ = cut(rows.mapInArrow(_line_rows, "doc_id long, copy long, line_no int, h1 long, h2 long"), "lines")
     banded = rows.select("text").mapInArrow(_band_rows, "key long, line long")
-    crowded, _ = cut(banded.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_crowded_rows, "line long, key long"), "crowded")
+    crowded, _ = cut(banded.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_crowded_rows, "line long, key long").distinct(), "crowded")
     ids = crowded.select("line").distinct()
     bodies = rows.select("text").mapInArrow(_text_rows(_filter_of(crowded.select("line"), ids.count())), "h1 long, h2 long, body string").groupBy("h1", "h2").agg(F.first("body").alias("body"))
     edges, _ = cut(_met(crowded, bodies, hot).mapInArrow(_edge_rows, "a1 long, a2 long, b1 long, b2 long"), "line-edges")
