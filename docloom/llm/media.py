@@ -1,9 +1,10 @@
 """Media columns from baseline JPEG files: dimensions, and hashes of thumbnails.
 
-Markers are parsed for each file; the entropy-coded data of all files of a batch is then decoded in step: a
-lane is a file's scan, or one of its restart intervals, and each numpy pass takes the next Huffman symbol of
-every lane. Of the coefficients only the DC ones of the luminance are kept; dequantised, each is the mean of
-a block of 8 x 8 pixels, and together they are the thumbnail. No inverse transform is needed.
+Markers are parsed for each file and its scan is Huffman-decoded once, from table to table: an entry for each
+16 bits tells how many of them whole AC symbols take and how many coefficients those fill, so that the values
+nobody needs are stepped over several at a time. Of the coefficients only the DC ones of the luminance are
+kept; numpy dequantises them, each is the mean of a block of 8 x 8 pixels, and together they are the
+thumbnail. No inverse transform is needed.
 
 Columns: status, width, height, n_components, thumb_width, thumb_height, thumb (bytes by row),
 thumb_digest (SHA-256 of size and bytes, for exact copies) and thumb_hash (64 bits, each telling whether the
@@ -18,6 +19,7 @@ ends early, with the dimensions if they were read. Repeated rows get the same re
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.shared import whole_id
+
 OUT = "status string, width int, height int, n_components int, thumb_width int, thumb_height int, thumb binary, thumb_digest string, thumb_hash long"
-#: A group of files is decoded together until one of these is reached.
-GROUP_BYTES, GROUP_LANES, GROUP_TABLES = 4 << 20, 8192, 128
+#: Tables that a worker keeps, and bytes of data from which on a table of several symbols is worth making.
+TABLES, LONG_SCAN = 256, 8192
+#: Bytes after the data: no block reads further.
+_PAD = b"\xff" * 512
 
 
 @dataclass
@@ -46,7 +52,7 @@ class Parsed:
     mcu_row: int = 0
     q0: int = 1
     restart: int = 0
-    #: For each block of a MCU, whether it is luminance, its component, and its DC and AC tables.
+    #: For each block of an MCU, whether it is luminance, its component, and its DC and AC tables.
     blocks: list[tuple[bool, int, bytes, bytes]] = field(default_factory=list)
     data: bytes = b""
 
@@ -180,97 +186,109 @@ def intervals(data: bytes) -> list[bytes]:
     return [x.replace(b"\xff\x00", b"\xff") for x in [*out, data[start:]]]
 
 
-def luminance(files: list[Parsed]) -> list[np.ndarray | None]:
-    """The DC coefficients (down x across) of each file; None if its data is corrupt."""
-    tables: dict[bytes, int] = {}
-    stream, begin, stop, count, base, owner = [], [], [], [], [], []
-    at = total = 0
-    starts = []
-    most = max(len(f.blocks) for f in files)
-    shape = np.zeros((3, len(files), most), np.int64)  # component, and tables, of a MCU's blocks
-    luma = np.full((len(files), most), -1, np.int64)
-    good = np.ones(len(files), bool)
-    for i, f in enumerate(files):
-        starts.append(total)
-        per = sum(b[0] for b in f.blocks)
-        place = 0
-        for k, (own, c, dc, ac) in enumerate(f.blocks):
-            shape[:, i, k] = c, tables.setdefault(dc, len(tables)), tables.setdefault(ac, len(tables))
+class Table:
+    """What decoding needs of a Huffman table; for AC symbols bits | coefficients << 6 | end of the block << 14, 0 where no code is."""
+
+    def __init__(self, spec: bytes) -> None:
+        self.codes = table_of(spec)
+        self.dc, self.one, self._many = array("H", self.codes.tobytes()), self._steps(1), None
+
+    @property
+    def many(self) -> array:
+        if self._many is None:
+            self._many = self._steps(8)
+        return self._many
+
+    def _steps(self, most: int) -> array:
+        """Entries of up to so many symbols whose codes lie in the 16 bits."""
+        window = np.arange(1 << 16, dtype=np.uint32)
+        bits, filled, end = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, bool)
+        live = np.arange(1 << 16)
+        for _ in range(most):
+            code = self.codes[(window[live] << bits[live]) & np.uint32(0xFFFF)].astype(np.uint32)
+            length, run, size = code >> np.uint32(8), (code >> np.uint32(4)) & np.uint32(15), code & np.uint32(15)
+            ok = (code > 0) & (bits[live] + length <= 16) & ((size > 0) | (run == 0) | (run == 15))
+            live, length, run, size = live[ok], length[ok], run[ok], size[ok]
+            stop = (size == 0) & (run == 0)
+            bits[live] += length + size
+            filled[live] += np.where(stop, 0, run + 1).astype(np.uint32)
+            end[live] = stop
+            live = live[~stop & (bits[live] < 16)]
+        return array("H", (bits | filled << np.uint32(6) | end.astype(np.uint32) << np.uint32(14)).astype(np.uint16).tobytes())
+
+
+_tables: dict[bytes, Table] = {}
+
+
+def _table(spec: bytes) -> Table:
+    found = _tables.get(spec)
+    if found is None:
+        if len(_tables) >= TABLES:
+            _tables.clear()
+        found = _tables[spec] = Table(spec)
+    return found
+
+
+def luminance(f: Parsed) -> np.ndarray | None:
+    """The DC coefficients (down x across) of a file; None if its data is corrupt."""
+    if f.mcus * len(f.blocks) > 8 * len(f.data) + 8:  # each block takes two bits at least
+        return None
+    parts, step = intervals(f.data), f.restart or f.mcus
+    if len(parts) != -(-f.mcus // step):
+        return None
+    long = len(f.data) >= LONG_SCAN
+    blocks = []
+    for own, _, dc, ac in f.blocks:
+        t = _table(ac)
+        blocks.append((own, t.many if long else t.one, t.one, _table(dc).dc))
+    out: list[int] = []
+    for r, part in enumerate(parts):
+        if not _decode(part, min(step, f.mcus - r * step), blocks, out):
+            return None
+    return _grid(f, np.array(out, np.int64))
+
+
+def _decode(part: bytes, mcus: int, blocks: list[tuple[bool, array, array, array]], out: list[int]) -> bool:
+    """Appends the luminance's DC coefficients of one interval; False if it is broken."""
+    raw = np.frombuffer(part + _PAD, np.uint8).astype(np.uint32)
+    word = memoryview(raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:])
+    p, stop, value = 0, 8 * len(part), 0
+    for _ in range(mcus):
+        for own, many, one, dc in blocks:
+            code = dc[(word[p >> 3] >> (16 - (p & 7))) & 0xFFFF]
+            size = code & 255
+            if not code or size > 15:
+                return False
+            p += code >> 8
             if own:
-                luma[i, k] = place
-                place += 1
-        parts = intervals(f.data)
-        step = f.restart or f.mcus
-        if len(parts) != -(-f.mcus // step):
-            good[i] = False
-        else:
-            for r, part in enumerate(parts):
-                stream.append(part + b"\xff" * 8)
-                begin.append(at * 8)
-                at += len(part) + 8
-                stop.append((at - 8) * 8)
-                count.append(min(step, f.mcus - r * step))
-                base.append(total + r * step * per)
-                owner.append(i)
-        total += f.mcus * per
-    out = np.zeros(total, np.int64)
-    if stream:
-        lut = np.stack([table_of(t) for t in tables]).ravel()
-        bad = _decode(b"".join(stream), *(np.array(x, np.int64) for x in (begin, stop, count, base, owner)), shape, luma, np.array([len(f.blocks) for f in files]), lut, out)
-        good[bad] = False
-    return [_grid(f, out[s : s + f.mcus * sum(b[0] for b in f.blocks)]) if g else None for f, s, g in zip(files, starts, good, strict=True)]
-
-
-def _decode(stream: bytes, pos, stop, left, base, owner, shape, luma, blocks, lut, out) -> np.ndarray:
-    """Decodes all lanes in step into `out`; gives the files of lanes that broke."""
-    raw = np.frombuffer(stream + b"\xff" * 4, np.uint8).astype(np.uint32)
-    word = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
-    n = len(pos)
-    pred = np.zeros((n, int(shape[0].max()) + 1), np.int64)
-    slot, z, done = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    per = (luma >= 0).sum(1)
-    bad: list[np.ndarray] = []
-    live = np.arange(n)
-
-    def peek(p: np.ndarray) -> np.ndarray:
-        return (word[p >> 3] >> (np.uint32(16) - (p & 7).astype(np.uint32))).astype(np.int64) & 0xFFFF
-
-    while len(live):
-        own, s, first, p = owner[live], slot[live], z[live] == 0, pos[live]
-        code = lut[np.where(first, shape[1][own, s], shape[2][own, s]) * 65536 + peek(p)].astype(np.int64)
-        p = p + (code >> 8)
-        symbol = code & 255
-        size = np.where(first, symbol, symbol & 15)
-        broken = (code == 0) | (p > stop[live]) | (size > 15)
-        size = np.minimum(size, 15)
-        value = np.where(broken, 0, peek(np.minimum(p, stop[live])) >> (16 - size))
-        p = p + size
-        broken |= p > stop[live]
-        if first.any():
-            at, v, sz = live[first], value[first], size[first]
-            v = np.where((sz > 0) & (v < 1 << np.maximum(sz - 1, 0)), v - (1 << sz) + 1, v)
-            c = shape[0][own[first], s[first]]
-            pred[at, c] += v
-            y = luma[own[first], s[first]]
-            hit = (y >= 0) & ~broken[first]
-            out[base[at[hit]] + done[at[hit]] * per[own[first][hit]] + y[hit]] = pred[at[hit], c[hit]]
-        run = symbol >> 4
-        end = ~first & (symbol == 0)
-        now = np.where(first, 1, z[live] + np.where(size > 0, run + 1, np.where(symbol == 0xF0, 16, 1)))
-        # after the run there must be room for the coefficient; runs of no size other than 0 and 15 do not exist
-        broken |= ~first & ~end & ((now > 64) | ((size == 0) & (symbol != 0xF0)))
-        end |= now >= 64
-        z[live], pos[live] = np.where(end, 0, now), p
-        s = np.where(end, s + 1, s)
-        whole = s == blocks[own]
-        slot[live] = np.where(whole, 0, s)
-        done[live] += whole
-        if broken.any():
-            bad.append(own[broken])
-        over = broken | (done[live] >= left[live])
-        if over.any():
-            live = live[~over]
-    return np.unique(np.concatenate(bad)) if bad else np.zeros(0, np.int64)
+                if size:
+                    bits = ((word[p >> 3] >> (16 - (p & 7))) & 0xFFFF) >> (16 - size)
+                    value += bits if bits >> (size - 1) else bits - (1 << size) + 1
+                out.append(value)
+            p += size
+            z = 1
+            while True:
+                code = many[(word[p >> 3] >> (16 - (p & 7))) & 0xFFFF]
+                now = z + ((code >> 6) & 255)
+                if now > 63:  # the block ends among these symbols: one by one from here
+                    while z < 64:
+                        code = one[(word[p >> 3] >> (16 - (p & 7))) & 0xFFFF]
+                        z += (code >> 6) & 255
+                        p += code & 63
+                        if code >> 14:
+                            break
+                        if not code or z > 64:
+                            return False
+                    break
+                if not code:
+                    return False
+                p += code & 63
+                if code >> 14:
+                    break
+                z = now
+            if p > stop:
+                return False
+    return True
 
 
 def _grid(f: Parsed, dc: np.ndarray) -> np.ndarray:
@@ -295,33 +313,16 @@ def thumb_hash(thumb: np.ndarray) -> int:
 
 def read(files: list[bytes | None]) -> list[tuple]:
     """The columns of OUT for each file."""
-    parsed = [parse(x) for x in files]
-    out: list[tuple] = [(f.status, f.width, f.height, f.n, None, None, None, None, None) for f in parsed]
-    group: list[int] = []
-    size, lanes, tables = 0, 0, set()
-
-    def finish() -> None:
-        for i, dc in zip(group, luminance([parsed[i] for i in group]) if group else [], strict=True):
-            f = parsed[i]
-            if dc is None:
-                out[i] = ("corrupt", *out[i][1:])
-                continue
-            thumb = thumbnail(f, dc)
-            digest = hashlib.sha256(f"{f.width}x{f.height}:".encode() + thumb.tobytes()).hexdigest()
-            out[i] = ("ok", f.width, f.height, f.n, thumb.shape[1], thumb.shape[0], thumb.tobytes(), digest, thumb_hash(thumb))
-
-    for i, f in enumerate(parsed):
-        if f.status == "ok":
-            if f.mcus * len(f.blocks) > 8 * len(f.data) + 8:  # each block takes two bits at least
-                out[i] = ("corrupt", *out[i][1:])
-                continue
-            group.append(i)
-            size, lanes = size + len(f.data), lanes + (-(-f.mcus // f.restart) if f.restart else 1)
-            tables |= {t for b in f.blocks for t in b[2:]}
-            if size > GROUP_BYTES or lanes > GROUP_LANES or len(tables) > GROUP_TABLES:
-                finish()
-                group, size, lanes, tables = [], 0, 0, set()
-    finish()
+    out: list[tuple] = []
+    for raw in files:
+        f = parse(raw)
+        dc = luminance(f) if f.status == "ok" else None
+        if dc is None:
+            out.append(("corrupt" if f.status == "ok" else f.status, f.width, f.height, f.n, None, None, None, None, None))
+            continue
+        thumb = thumbnail(f, dc)
+        digest = hashlib.sha256(f"{f.width}x{f.height}:".encode() + thumb.tobytes()).hexdigest()
+        out.append(("ok", f.width, f.height, f.n, thumb.shape[1], thumb.shape[0], thumb.tobytes(), digest, thumb_hash(thumb)))
     return out
 
 
@@ -339,5 +340,5 @@ def media_columns(rows: DataFrame, key: str, image: str) -> DataFrame:
                 cols = zip(*read(part.column("__image").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("__key"), *(pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True))], [key, *_NAMES])
 
-    picked = rows.select(F.col(key).cast("long").alias("__key"), F.col(image).alias("__image"))
+    picked = rows.select(whole_id(rows, key).alias("__key"), F.col(image).alias("__image"))
     return picked.mapInArrow(read_rows, f"`{key}` long, {OUT}")

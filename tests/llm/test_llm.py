@@ -237,6 +237,44 @@ def test_media(spark):
     assert media.media_columns(df.limit(0), "vec_id", "image").count() == 0
 
 
+def test_media_of_another_writer(spark):
+    """Pictures that the JVM's library writes (colour with subsampling, and grey): block means are those of its own reader."""
+    jvm = spark._jvm
+    io, image = jvm.javax.imageio.ImageIO, jvm.java.awt.image.BufferedImage
+    for kind, w, h in ((1, 70, 41), (10, 33, 24)):
+        picture = image(w, h, kind)
+        for y in range(h):
+            for x in range(w):
+                v = int(128 + 70 * np.sin(x / 9) + 50 * np.cos(y / 7 + x / 20))
+                picture.setRGB(x, y, (v << 16 | (255 - v) << 8 | v // 2) if kind == 1 else v * 0x10101)
+        out = jvm.java.io.ByteArrayOutputStream()
+        assert io.write(picture, "jpg", out)
+        raw = bytes(out.toByteArray())
+        back = io.read(jvm.java.io.ByteArrayInputStream(out.toByteArray()))
+        if kind == 1:
+            rgb = np.array([[back.getRGB(x, y) for x in range(w)] for y in range(h)])
+            grey = ((rgb[..., None] >> np.array([16, 8, 0])) & 255) @ np.array([0.299, 0.587, 0.114])
+        else:
+            raster = back.getRaster()  # getRGB would convert the grey values to another curve
+            grey = np.array([[raster.getSample(x, y, 0) for x in range(w)] for y in range(h)])
+        got = media.read([raw])[0]
+        thumb = np.frombuffer(got[6], np.uint8).reshape(got[5], got[4])
+        down, across = h // 8, w // 8
+        means = grey[: down * 8, : across * 8].reshape(down, 8, across, 8).mean((1, 3))
+        assert got[:4] == ("ok", w, h, 3 if kind == 1 else 1) and thumb.shape == (-(-h // 8), -(-w // 8))
+        assert np.abs(thumb[:down, :across] - means).max() < 2
+
+
+def test_media_tables_of_several_symbols(monkeypatch):
+    """Stepping over several symbols at a time gives what one at a time gives, with restarts and without."""
+    r = np.random.default_rng(5)
+    planes = [[[int(r.integers(-100, 100)), *(r.integers(-40, 40, 63) * (r.random(63) < 0.4)).tolist()] for _ in range(600)]]
+    files = [jpeg_writer.write(30 * 8, 20 * 8, planes, restart=k) for k in (0, 7)]
+    slow = media.read(files)
+    monkeypatch.setattr(media, "LONG_SCAN", 0)
+    assert media.read(files) == slow and slow[0][0] == "ok" and slow[0][6] == slow[1][6]
+
+
 def test_bpe(spark, awkward, empty, docs):
     enc, own = token_counts.encoding(BYTE_BPE), bpe.coder(BYTE_BPE)
     assert isinstance(enc, tiktoken.Encoding)
