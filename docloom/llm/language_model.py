@@ -1,23 +1,25 @@
 """Language-model scoring with a log-bilinear neural model trained in numpy by noise-contrastive estimation.
 
 A token is predicted from the CONTEXT tokens before it: their vectors, each scaled by the weights of its
-place, add up to a predicted vector, and a token's score is that vector's product with its own output vector,
-plus its bias. Training tells tokens of the corpus from tokens drawn from the unigram distribution, so no
-sum over the vocabulary is needed. Scoring is normalised over the whole vocabulary: products of matrices of
-contexts with the output vectors give the sums, and a worker keeps the sum of each context it has met.
-
-Words have probabilities in two steps. The network's tokens are the VOCABULARY - RARE most frequent words of the
-whole corpus and RARE classes by hash of all others; a word of a class has the class's probability times the
-word's share of the class's occurrences in the corpus, so the probabilities of all words of the corpus add up to
+place, add up to a predicted vector. Tokens lie in classes of MEMBERS each, in order of frequency; the
+predicted vector's products with the classes' vectors score the classes, those with the vectors of a class's
+tokens score these within it. Training tells the corpus's class from classes drawn from their unigram
+distribution, and its token from others of the class drawn likewise, so it needs no sums. Scoring is normalised
+over the whole vocabulary: products of matrices of contexts with the vectors of all classes, and with those of
+the members of each token's class, give both sums, so a probability costs the square root of the vocabulary.
+
+Tokens are the VOCABULARY - RARE most frequent words of the whole corpus, and RARE groups of all others by their
+first bytes. A word of a group backs off to the group: it has the group's probability in its context times the
+word's share of the group's occurrences in the corpus, so the probabilities of all words of the corpus add up to
 1 in every context. The counts of all words are kept as a table: shares of up to `most` words (the most frequent
-ones) are sent to the workers, those of the others are joined by word. What a context says of a rare word is
-what it says of its class. Every round each task trains on all tokens of its partition from the same start, and
-the mean of the tasks' parameters, weighted by tokens, is the next start; what is exchanged grows with the
-corpus, what the driver holds is one model and `most` shares.
+ones) are sent to the workers, those of the others are joined by word. Every round each task trains on all
+tokens of its partition from the same start, and the mean of the tasks' parameters, weighted by tokens, is the
+next start; what is exchanged grows with the corpus, what the driver holds is one model and `most` shares.
 
 Defined results: a null text has null scores; a text without words has 0 tokens, log_prob 0 and a null mean.
 Rows repeat as often as they come, with the same score each, and teach the model as often. An empty corpus
-gives an empty result. Tokens before the beginning of a text are a token of their own.
+gives an empty result. Tokens before the beginning of a text are a token of their own. Ids that are no whole
+numbers are null in the result.
 """
 
 from __future__ import annotations
@@ -32,15 +34,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import BROADCAST_ROWS, cut, delete, small_batches
+from docloom.llm.shared import BROADCAST_ROWS, cut, delete, ids_and_texts, small_batches
 
-VOCABULARY, RARE = 1024, 32
+VOCABULARY, RARE = 32768, 2048
+MEMBERS = 128
 CONTEXT = 2
 WIDTH = 16
-NOISE = 24
-BATCH = 2048
+#: Noise classes of each batch, and noise tokens of each class in it.
+NOISE, SIBLINGS = 16, 3
+#: Tokens of a step; of the first START_TOKENS of a task, START_BATCH.
+BATCH, START_BATCH, START_TOKENS = 4096, 512, 1 << 17
 ROUNDS = 1
-RATE = 0.08
+RATE = 0.15
+#: Parameters in one row of what tasks exchange.
+SEGMENT = 1 << 14
+_NONE = np.float32(-1e4)
+#: Bytes of a rare word that choose its group.
+GROUP_BYTES = 3
 #: Words' counts are merged in a task when so many have gathered.
 MERGE = 1 << 20
 OUT = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
@@ -48,25 +58,35 @@ OUT = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
 
 @dataclass
 class Model:
-    """Parameters; `before` has one row more than `after`, for places before the beginning."""
+    """Parameters; `before` has one row more than there are tokens, for places before the beginning; `after` and `bias` are filled up to whole classes."""
 
     before: np.ndarray
     place: np.ndarray
     after: np.ndarray
     bias: np.ndarray
-    noise: np.ndarray
+    classes: np.ndarray
+    class_bias: np.ndarray
+    counts: np.ndarray
 
     @staticmethod
     def start(counts: np.ndarray, seed: int = 3) -> Model:
-        """Unigram probabilities, and vectors near zero."""
+        """Unigram probabilities, and vectors near zero; tokens that don't occur have no probability."""
         rng = np.random.default_rng(seed)
-        p = (counts + 1) / (counts + 1).sum()
-        v = len(p)
+        v = len(counts)
+        padded = np.zeros(-(-v // MEMBERS) * MEMBERS)
+        padded[:v] = counts
+        of_class = padded.reshape(-1, MEMBERS).sum(1)
+        log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-9)), _NONE).astype(np.float32)
         draw = lambda *shape: rng.normal(0, 0.15, shape).astype(np.float32)
-        return Model(draw(v + 1, WIDTH), np.ones((CONTEXT, WIDTH), np.float32), draw(v, WIDTH), np.log(p).astype(np.float32), p)
+        share = padded / np.maximum(np.repeat(of_class, MEMBERS), 1)
+        return Model(draw(v + 1, WIDTH), np.ones((CONTEXT, WIDTH), np.float32), draw(len(padded), WIDTH), log(share), draw(len(of_class), WIDTH), log(of_class / max(1, of_class.sum())), padded)
+
+    @property
+    def size(self) -> int:
+        return len(self.before) - 1
 
     def parts(self) -> list[np.ndarray]:
-        return [self.before, self.place, self.after, self.bias]
+        return [self.before, self.place, self.after, self.bias, self.classes, self.class_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float32)
@@ -76,26 +96,43 @@ class Model:
         for p in self.parts():
             out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
             at += p.size
-        return Model(*out, self.noise)
+        return Model(*out, self.counts)
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         """Predicted vectors of contexts (n x CONTEXT, the nearest first)."""
         return sum(self.before[context[:, k]] * self.place[k] for k in range(CONTEXT))
 
-    def log_sums(self, context: np.ndarray, block: int = 512) -> np.ndarray:
-        """Logarithms of the sums of exp(score) over the vocabulary."""
-        out = np.empty(len(context), np.float32)
-        for a in range(0, len(context), block):
-            s = self.predicted(context[a : a + block]) @ self.after.T
-            s += self.bias
-            top = s.max(1)
-            s -= top[:, None]
-            out[a : a + block] = np.log(np.exp(s, out=s).sum(1)) + top
+    def log_probs(self, context: np.ndarray, token: np.ndarray, block: int = 512) -> np.ndarray:
+        """Log-probabilities, normalised over the vocabulary by products of matrices."""
+        out = np.empty(len(token), np.float32)
+        order = np.argsort(token // MEMBERS, kind="stable")
+        for a in range(0, len(order), 1 << 18):
+            rows = order[a : a + (1 << 18)]
+            q, t = self.predicted(context[rows]), token[rows]
+            c = t // MEMBERS
+            p = np.empty(len(rows), np.float32)
+            for i in range(0, len(rows), block):
+                p[i : i + block] = _log_softmax(q[i : i + block], self.classes, self.class_bias, c[i : i + block])
+            starts = np.concatenate((np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))), [len(c)]))
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                own = slice(int(c[lo]) * MEMBERS, (int(c[lo]) + 1) * MEMBERS)
+                for i in range(lo, hi, block):
+                    j = min(i + block, hi)
+                    p[i:j] += _log_softmax(q[i:j], self.after[own], self.bias[own], t[i:j] - own.start)
+            out[rows] = p
         return out
 
-    def log_probs(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Normalised log-probabilities, every sum computed."""
-        return (self.predicted(context) * self.after[token]).sum(1) + self.bias[token] - self.log_sums(context)
+
+def _log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Of the scores of vectors for each row, the logarithm of the softmax at `of`."""
+    s = np.concatenate((q, np.ones((len(q), 1), np.float32)), 1) @ np.concatenate((vectors, bias[:, None]), 1).T
+    own = s[np.arange(len(s)), of]
+    with np.errstate(over="ignore", divide="ignore"):
+        total = np.log(np.exp(s) @ np.ones(s.shape[1], np.float32))
+    far = np.flatnonzero(~np.isfinite(total))
+    if len(far):
+        total[far] = np.logaddexp.reduce(s[far].astype(np.float64), axis=1)
+    return own - total
 
 
 def contexts(tokens: np.ndarray, offsets: np.ndarray, v: int) -> np.ndarray:
@@ -108,10 +145,12 @@ def contexts(tokens: np.ndarray, offsets: np.ndarray, v: int) -> np.ndarray:
     return out
 
 
-def _rows_sum(rows: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the gradient's rows by row number."""
-    at = ((rows * grad.shape[1])[:, None] + np.arange(grad.shape[1])).ravel()
-    return np.bincount(at, grad.ravel(), n * grad.shape[1]).reshape(n, -1).astype(np.float32)
+def _rows_sum(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, sums of the gradient's rows by row number)."""
+    order = np.argsort(rows.astype(np.uint16) if VOCABULARY < 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    return rows[starts], np.add.reduceat(grad[order], starts, axis=0)
 
 
 class Trainer:
@@ -121,90 +160,127 @@ class Trainer:
         self.m = model.with_flat(model.flat())
         self.rng, self.rate, self.n = np.random.default_rng(seed), rate, 0
         self.past = [np.full(p.shape, 0.1, np.float32) for p in self.m.parts()]
-        self.cdf = model.noise.cumsum()
-        self.log_noise = np.log(NOISE * model.noise).astype(np.float32)
+        self.cdf = np.concatenate(([0.0], model.counts.cumsum()))
+        of_class = model.counts.reshape(-1, MEMBERS).sum(1)
+        self.class_cdf = of_class.cumsum()
+        start = Model.start(model.counts[: model.size])
+        self.log_noise, self.log_class_noise = start.bias + np.float32(np.log(SIBLINGS)), start.class_bias + np.float32(np.log(NOISE))
 
     def learn(self, context: np.ndarray, token: np.ndarray) -> None:
-        for a in range(0, len(token), BATCH):
-            self._step(context[a : a + BATCH], token[a : a + BATCH])
+        """One step a batch; the first batches are small, so that small corpora make many steps too."""
+        a = 0
+        while a < len(token):
+            b = min(len(token), a + (BATCH if self.n + a >= START_TOKENS else START_BATCH))
+            self._step(context[a:b], token[a:b])
+            a = b
         self.n += len(token)
 
     def _step(self, context: np.ndarray, token: np.ndarray) -> None:
         m, n = self.m, len(token)
-        v = len(m.after)
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1], "right"), v - 1)
-        vectors = [np.take(m.before, context[:, k], axis=0) for k in range(CONTEXT)]
+        order = np.argsort((token // MEMBERS).astype(np.uint16), kind="stable")
+        context, token = context[order], token[order]
+        c = token // MEMBERS
+        starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        vectors = [m.before[context[:, k]] for k in range(CONTEXT)]
         q = sum(x * m.place[k] for k, x in enumerate(vectors))
-        own, other = np.take(m.after, token, axis=0), m.after[noise]
-        up = 1 - _logistic(np.einsum("ij,ij->i", q, own) + (m.bias - self.log_noise)[token])
-        down = -_logistic(q @ other.T + (m.bias - self.log_noise)[noise])
-        up_rows = up[:, None]
-        dq = up_rows * own
-        dq += down @ other
-        after = _rows_sum(np.concatenate((token, noise)), np.concatenate((up_rows * q, down.T @ q)), v)
-        bias = np.bincount(np.concatenate((token, noise)), np.concatenate((up, down.sum(0))), v).astype(np.float32)
-        before = sum(_rows_sum(context[:, k], dq * m.place[k], v + 1) for k in range(CONTEXT))
-        place = np.stack([np.einsum("ij,ij->j", dq, x) for x in vectors])
-        for p, g, past in zip(m.parts(), (before, place, after, bias), self.past, strict=True):
-            g = g * np.float32(1 / np.sqrt(n))
-            past += g * g
-            p += np.float32(self.rate) * g / np.sqrt(past)
+        # classes: the noise is the same for all tokens of the batch
+        noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE) * self.class_cdf[-1], "right"), len(m.classes) - 1)
+        own, other = m.classes[c], m.classes[noise]
+        up = 1 - _logistic(np.einsum("ij,ij->i", q, own) + (m.class_bias - self.log_class_noise)[c])
+        down = -_logistic(q @ other.T + (m.class_bias - self.log_class_noise)[noise])
+        dq = up[:, None] * own + down @ other
+        g = np.zeros_like(m.classes)
+        g[c[starts]] = np.add.reduceat(up[:, None] * q, starts, axis=0)
+        np.add.at(g, noise, down.T @ q)
+        class_bias = np.bincount(c, up, len(m.classes))
+        np.add.at(class_bias, noise, down.sum(0))
+        # tokens of the class: the noise is the same for all tokens of a class in the batch
+        k = len(m.classes)
+        lo = self.cdf[np.arange(k) * MEMBERS]
+        drawn = np.searchsorted(self.cdf, lo + self.rng.random((SIBLINGS, k)) * (self.cdf[np.arange(1, k + 1) * MEMBERS] - lo), "right") - 1
+        drawn = np.clip(drawn, np.arange(k) * MEMBERS, np.arange(k) * MEMBERS + MEMBERS - 1)
+        rows, level = m.after[token], m.bias - self.log_noise
+        pull = 1 - _logistic(np.einsum("ij,ij->i", q, rows) + level[token])
+        dq += pull[:, None] * rows
+        at, grads, pulls = [token], [pull[:, None] * q], [pull]
+        for some in drawn:
+            rows = m.after[some][c]
+            pull = -_logistic(np.einsum("ij,ij->i", q, rows) + level[some][c])
+            dq += pull[:, None] * rows
+            at.append(some[c[starts]])
+            grads.append(np.add.reduceat(pull[:, None] * q, starts, axis=0))
+            pulls.append(np.add.reduceat(pull, starts))
+        token_rows = _rows_sum(np.concatenate(at), np.concatenate((np.concatenate(grads), np.concatenate(pulls)[:, None]), 1))
+        before_rows = _rows_sum(context.T.ravel(), np.concatenate([dq * m.place[k] for k in range(CONTEXT)]))
+        places = np.stack([np.einsum("ij,ij->j", dq, x) for x in vectors])
+        every = slice(None)
+        for k, (at, x) in enumerate((before_rows, (every, places), (token_rows[0], token_rows[1][:, :-1]), (token_rows[0], token_rows[1][:, -1]), (every, g), (every, class_bias.astype(np.float32)))):
+            p, past = m.parts()[k], self.past[k]
+            x = x * np.float32(1 / np.sqrt(n))
+            now = past[at] + x * x
+            past[at] = now
+            p[at] += np.float32(self.rate) * x / np.sqrt(now)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.concatenate(hashes), np.concatenate(counts)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[first], np.add.reduceat(c, first)
-
-
-def _hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last one, hashes of their words, offsets by text)."""
+def _hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, last one, hashes of their words, groups by the words' first bytes, offsets by text)."""
     data, offsets = tv.flat(pc.utf8_lower(texts))
     for i, j in tv.pieces(offsets):
-        h, _, doc = tv.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        yield i, j, h, tv.per_text(doc, j - i)
+        own = data[offsets[i] : offsets[j]]
+        h, at, doc = tv.words(own, offsets[i : j + 1] - offsets[i])
+        group = np.zeros(len(h), np.uint64)
+        if len(h):
+            length = np.add.reduceat(tv.WORD_BYTES[own].view(np.int8), at, dtype=np.int64)
+            for k in range(GROUP_BYTES):
+                group = (group << np.uint64(8)) | np.where(length > k, own[np.minimum(at + k, len(own) - 1)], 0).astype(np.uint64)
+        yield i, j, h, (tv.mix(group + np.uint64(1)) % np.uint64(RARE)).astype(np.int64), tv.per_text(doc, j - i)
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, counts, size = [], [], 0
+    hashes, groups, counts, size = [], [], [], 0
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(counts[0])], ["word", "n"])
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, g, n = map(np.concatenate, (hashes, groups, counts))
+        order = np.argsort(h)
+        h, g, n = h[order], g[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return h[first], g[first], np.add.reduceat(n, first)
+
+    def out(h: np.ndarray, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.astype(np.int32)), pa.array(n)], ["word", "group", "n"])
 
     for batch in tv.parts(batches):
-        for _, _, h, _ in _hashes(batch.column("text")):
+        for _, _, h, g, _ in _hashes(batch.column("text")):
             if len(h):
-                u, n = np.unique(h, return_counts=True)
+                u, first, n = np.unique(h, return_index=True, return_counts=True)
                 hashes.append(u)
+                groups.append(g[first])
                 counts.append(n)
                 size += len(u)
         if size > MERGE:
-            one, two = _merged(hashes, counts)
-            hashes, counts, size = [one], [two], 0
-            if len(one) > MERGE:
-                yield out()
-                hashes, counts = [], []
+            one = merged()
+            hashes, groups, counts = ([x] for x in one)
+            size = len(one[0])
+            if size > MERGE // 2:
+                yield out(*one)
+                hashes, groups, counts, size = [], [], [], 0
     if hashes:
-        one, two = _merged(hashes, counts)
-        hashes, counts = [one], [two]
-        yield out()
+        yield out(*merged())
 
 
 @dataclass
 class Words:
-    """Frequent words by hash, sorted, and their tokens; others have a token by hash."""
+    """Frequent words by hash, sorted, and their tokens; others have the token of their group."""
 
     hashes: np.ndarray
     tokens: np.ndarray
 
-    def encode(self, h: np.ndarray) -> np.ndarray:
-        rare = (h % np.uint64(RARE)).astype(np.int64) + len(self.hashes)
+    def encode(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
+        rare = group + len(self.hashes)
         if not len(self.hashes):
             return rare
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -212,8 +288,8 @@ class Words:
 
 
 def word_counts(texts: DataFrame) -> tuple[DataFrame, str]:
-    """(word, n) for every word of the corpus by hash, and the folder of that table."""
-    return cut(texts.mapInArrow(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    """(word, group, n) for every word of the corpus by hash, and the folder of that table."""
+    return cut(texts.mapInArrow(_count_rows, "word long, group int, n long").groupBy("word").agg(F.min("group").alias("group"), F.sum("n").alias("n")), "words")
 
 
 def vocabulary(texts: DataFrame) -> tuple[Words, np.ndarray]:
@@ -229,17 +305,12 @@ def _tokens_from(counted: DataFrame) -> tuple[Words, np.ndarray]:
     word, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(word)
     words = Words(word[order], order)
-    shared = counted.sparkSession.sparkContext.broadcast(words)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(word) + RARE, np.int64)
-        for b in batches:
-            np.add.at(total, shared.value.encode(b.column("word").to_numpy().view(np.uint64)), b.column("n").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE, dtype=np.int32)), pa.array(total[len(word) :])], ["class", "n"])
-
-    classes = counted.mapInArrow(rare, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     rest = np.zeros(RARE, np.int64)
-    rest[classes["class"].to_numpy()] = classes["n"].to_numpy()
+    if len(word) == VOCABULARY - RARE:  # else there are no others
+        last, at = int(n[-1]), int(top["word"].to_numpy()[-1])
+        others = counted.where((F.col("n") < last) | ((F.col("n") == last) & (F.col("word") > at)))
+        groups = others.groupBy("group").agg(F.sum("n").alias("n")).toArrow()
+        rest[groups["group"].to_numpy()] = groups["n"].to_numpy()
     return words, np.concatenate([n, rest])
 
 
@@ -265,14 +336,15 @@ def frequent_shares(counted: DataFrame, words: Words, counts: np.ndarray, most:
     n, size = sizes["n"].to_numpy(), sizes["words"].to_numpy()
     order = np.argsort(-n)
     fit = n[order][size[order].cumsum() <= most]
-    word, n = words.hashes, np.zeros(0, np.int64)
+    word, n, group = words.hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(fit):
         some = counted.where(F.col("n") >= int(fit[-1])).toArrow()
         word, n = some["word"].to_numpy().view(np.uint64), some["n"].to_numpy()
         own = np.isin(word, words.hashes)
+        group = some["group"].to_numpy().astype(np.int64)[~own]
         word, n = np.concatenate([words.hashes, word[~own]]), n[~own]
     head = len(words.hashes)
-    logs = np.concatenate([np.zeros(head), np.log(n / counts[words.encode(word[head:])])])
+    logs = np.concatenate([np.zeros(head), np.log(n / counts[head + group])])
     order = np.argsort(word)
     return Shares(word[order], logs[order])
 
@@ -283,8 +355,8 @@ def _token_rows(shared):
             texts = batch.column("text")
             values, ends = [], [np.zeros(1, np.int64)]
             size = 0
-            for _, _, h, at in _hashes(texts):
-                values.append(shared.value.encode(h).astype(np.int16))
+            for _, _, h, group, at in _hashes(texts):
+                values.append(shared.value.encode(h, group).astype(np.int16))
                 ends.append(at[1:] + size)
                 size += len(h)
             flat, offsets = np.concatenate([*values, np.zeros(0, np.int16)]), np.concatenate(ends) * 2
@@ -316,65 +388,55 @@ def _train_rows(shared, number: int):
         trainer = Trainer(shared.value, 1000 * number + part, RATE / number)
         for batch in batches:
             for _, _, tokens, offsets in _tokens_of(batch.column("tokens")):
-                trainer.learn(contexts(tokens, offsets, len(shared.value.after)), tokens)
+                trainer.learn(contexts(tokens, offsets, shared.value.size), tokens)
         if trainer.n:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.n]), pa.array([trainer.m.flat().tobytes()])], ["part", "n", "flat"])
+            flat = trainer.m.flat()
+            for k in range(0, len(flat), SEGMENT):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k // SEGMENT], pa.int32()), pa.array([trainer.n]), pa.array([flat[k : k + SEGMENT].tobytes()])], ["part", "segment", "n", "flat"])
 
     return rows
 
 
 def _mean_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weighted sum of a partition's parameters, and the weight."""
-    total, weight = None, 0
+    """Of rows sorted by segment, the mean of each segment's parameters, weighted, and the weight."""
+    total, weight, now = None, 0, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([now], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()])], ["part", "segment", "n", "flat"])
+
     for batch in batches:
-        for n, flat in zip(batch.column("n").to_pylist(), batch.column("flat"), strict=True):
+        for k, n, flat in zip(batch.column("segment").to_pylist(), batch.column("n").to_pylist(), batch.column("flat"), strict=True):
+            if total is not None and k != now:
+                yield out()
+                total, weight = None, 0
             x = np.frombuffer(flat.as_buffer(), np.float32) * np.float64(n)
-            total, weight = x if total is None else total + x, weight + n
+            total, weight, now = x if total is None else total + x, weight + n, k
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()])], ["part", "n", "flat"])
+        yield out()
 
 
 def train(tokens: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
     """A model from (tokens binary) rows: every round trains on all of them."""
-    spark, model, kind = tokens.sparkSession, Model.start(counts), "part int, n long, flat binary"
+    spark, model, kind = tokens.sparkSession, Model.start(counts), "part int, segment int, n long, flat binary"
     for number in range(1, rounds + 1):
         shared = spark.sparkContext.broadcast(model)
         done, path = cut(tokens.select("tokens").where("tokens is not null").mapInArrow(_train_rows(shared, number), kind), "trained")
-        # summed in two steps, so no task reads more than about a thousandth of what the tasks wrote
-        some = done.repartition(F.col("part") % 1000).sortWithinPartitions("part").mapInArrow(_mean_rows, kind)
-        whole = some.repartition(1).sortWithinPartitions("n").mapInArrow(_mean_rows, kind).toArrow()
+        # summed in two steps, so no task reads more than a few hundredths of what the tasks wrote
+        some = done.withColumn("part", F.col("part") % 16).repartition("segment", "part").sortWithinPartitions("part", "segment", "n").mapInArrow(_mean_rows, kind)
+        whole = some.repartition("segment").sortWithinPartitions("segment", "n").mapInArrow(_mean_rows, kind).toArrow().sort_by("segment")
         delete(spark, path)
         if whole.num_rows:
-            model = model.with_flat(np.frombuffer(whole["flat"][0].as_py(), np.float32))
+            model = model.with_flat(np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in whole["flat"]]))
     return model
 
 
-_sums: dict[bytes, np.ndarray] = {}
-
-
-def _known_sums(model: Model) -> np.ndarray:
-    """What this worker knows of the model's sums by context, NaN elsewhere; one model is kept."""
-    name = model.after.tobytes()[:256]
-    if name not in _sums:
-        _sums.clear()
-        _sums[name] = np.full((len(model.before)) ** CONTEXT, np.nan, np.float32)
-    return _sums[name]
-
-
 def _score_rows(shared, more: tuple[str, ...] = ()):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        v, known = len(model.after), _known_sums(model)
-        base = (v + 1) ** np.arange(CONTEXT)
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for i, j, tokens, offsets in _tokens_of(batch.column("tokens")):
-                context = contexts(tokens, offsets, v)
-                key = context @ base
-                new = np.unique(key[np.isnan(known[key])])
-                if len(new):
-                    known[new] = model.log_sums(np.stack([new // b % (v + 1) for b in base], 1))
-                p = (model.predicted(context) * model.after[tokens]).sum(1) + model.bias[tokens] - known[key]
+                p = model.log_probs(contexts(tokens, offsets, model.size), tokens)
                 sums = np.concatenate(([0.0], p.cumsum(dtype=np.float64)))
                 n[i:j], total[i:j] = np.diff(offsets), sums[offsets[1:]] - sums[offsets[:-1]]
             there = batch.column("tokens").is_valid().to_numpy(zero_copy_only=False)
@@ -389,7 +451,7 @@ def _score_rows(shared, more: tuple[str, ...] = ()):
 def encoded(docs: DataFrame, words: Words) -> DataFrame:
     """(doc_id, tokens): each text's tokens as 16-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_token_rows(shared), "doc_id long, tokens binary")
+    return ids_and_texts(docs).mapInArrow(_token_rows(shared), "doc_id long, tokens binary")
 
 
 def scores(tokens: DataFrame, model: Model) -> DataFrame:
@@ -404,7 +466,7 @@ def _shared_rows(shared, shares):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.parts(batches):
             known, rest, ends, size = [], [], [np.zeros(1, np.int64)], 0
-            for _, _, h, at in _hashes(batch.column("text")):
+            for _, _, h, _, at in _hashes(batch.column("text")):
                 log, there = shares.value.split(h)
                 sums = np.concatenate(([0.0], log.cumsum()))
                 known.append(sums[at[1:]] - sums[at[:-1]])
@@ -422,16 +484,15 @@ def train_and_score(docs: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A model of all the documents, and each one's log-probability under it."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = ids_and_texts(docs)
     counted, _ = word_counts(texts.select("text").where("text is not null"))
     words, counts = _tokens_from(counted)
     shared, shares = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(frequent_shares(counted, words, counts, most))
     # the id only has to tell the rows that are written apart
     rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_shared_rows(shared, shares), "row long, doc_id long, tokens binary, known double, rest array<long>")
     tokens, _ = cut(rows, "tokens")
-    classes = spark.createDataFrame([(k, int(n)) for k, n in enumerate(counts[len(words.hashes) :])], "class int, total long")
-    # hashes are unsigned and RARE divides 2**64, so the positive remainder is the class
-    share = counted.join(F.broadcast(classes), F.pmod("word", F.lit(RARE)) == F.col("class")).select("word", F.log(F.col("n") / F.col("total")).alias("log"))
+    totals = spark.createDataFrame([(k, int(n)) for k, n in enumerate(counts[len(words.hashes) :])], "group int, total long")
+    share = counted.join(F.broadcast(totals), "group").select("word", F.log(F.col("n") / F.col("total")).alias("log"))
     looked_up = tokens.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     tail = looked_up.join(share, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("tail"))
     model = train(tokens, counts)

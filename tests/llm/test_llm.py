@@ -111,29 +111,74 @@ def test_language_model(spark, awkward, empty):
     model = language_model.train(tokens.where(~held), counts)
     some = [np.frombuffer(r.tokens, np.int16).astype(np.int64) for r in tokens.where(held).collect()]
     flat, at = np.concatenate(some), np.concatenate(([0], np.cumsum([len(x) for x in some])))
-    context = language_model.contexts(flat, at, len(model.after))
+    context = language_model.contexts(flat, at, model.size)
     p = model.log_probs(context, flat)
-    assert p.mean() > np.log((counts / counts.sum())[flat]).mean() + 0.05
-    every = model.predicted(context[:5]) @ model.after.T + model.bias - model.log_sums(context[:5])[:, None]
-    assert np.allclose(np.exp(every).sum(1), 1, atol=1e-4)
+    assert len(counts) == language_model.VOCABULARY and p.mean() > np.log((counts / counts.sum())[flat]).mean() + 0.1
+    for x in context[:4]:
+        assert np.isclose(np.exp(model.log_probs(np.repeat(x[None], len(counts), 0), np.arange(len(counts))).astype(float)).sum(), 1, atol=1e-4)
     scored = {r.doc_id: r.log_prob for r in language_model.scores(tokens.where(held), model).collect()}
     assert np.isclose(sum(scored.values()), p.sum(dtype=np.float64), rtol=1e-4)
 
 
-def test_rare_words(spark):
-    """The probabilities of all words of the corpus add up to 1, wherever their shares come from, and grow with their counts."""
-    words = {f"w{i}": 1 + i % 3 for i in range(3000)}
-    rows = [(i, w) for i, (w, n) in enumerate(words.items()) for _ in range(n)] + [(5000, "w7 w8"), (5001, None), (None, "w9")]
+def test_normalised_scores():
+    """The two products of matrices give the softmax over classes times that over the class's tokens, whatever the size of the scores."""
+    r = np.random.default_rng(8)
+    model = language_model.Model.start(r.integers(0, 9, 700))
+    for scale in (1, 60):
+        model.classes, model.after = (scale * r.normal(0, 1, x.shape).astype(np.float32) for x in (model.classes, model.after))
+        context, token = r.integers(0, 701, (300, language_model.CONTEXT)), r.choice(np.flatnonzero(model.counts[:700]), 300)
+        q = model.predicted(context).astype(float)
+        soft = lambda x: x - np.logaddexp.reduce(x, axis=-1)[..., None]
+        of_class = soft(q @ model.classes.T.astype(float) + model.class_bias)
+        inside = soft((q @ model.after.T.astype(float) + model.bias).reshape(300, -1, language_model.MEMBERS))
+        want = of_class[np.arange(300), token // language_model.MEMBERS] + inside.reshape(300, -1)[np.arange(300), token]
+        assert np.allclose(model.log_probs(context, token), want, rtol=1e-4, atol=1e-3)
+
+
+def test_training_learns_contexts():
+    """Where each token names its next, a model learns it: the gradient steps are those of the method."""
+    r = np.random.default_rng(4)
+    step = r.permutation(300)
+    token = np.empty(120_000, np.int64)
+    token[0] = 0
+    noise = r.integers(0, 300, len(token))
+    use = r.random(len(token)) < 0.1
+    for i in range(1, len(token)):
+        token[i] = noise[i] if use[i] else step[token[i - 1]]
+    counts = np.bincount(token, minlength=300)
+    trainer = language_model.Trainer(language_model.Model.start(counts), 1)
+    context = language_model.contexts(token, np.array([0, len(token)]), 300)
+    for _ in range(3):
+        trainer.learn(context, token)
+    assert trainer.m.log_probs(context, token).mean() > np.log(counts / counts.sum())[token].mean() + 1.5
+
+
+def test_gibberish_scores_low(spark):
+    """Words that nobody else uses are less probable than those of the corpus, though many documents are made of such words."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    r = random.Random(6)
+    junk = spark.createDataFrame([(10_000_000 + i, " ".join(f"{r.getrandbits(36):09x}" for _ in range(200))) for i in range(100)], "doc_id long, text string")
+    got = language_model.train_and_score(docs.unionByName(junk)).where("n_tokens > 20").toPandas()
+    is_junk = got.doc_id >= 10_000_000
+    assert got[is_junk].mean_log_prob.max() < got[~is_junk].mean_log_prob.quantile(0.05)
+
+
+def test_rare_words(spark, monkeypatch):
+    """The probabilities of all words of the corpus add up to 1, wherever their shares come from."""
+    words = {f"{chr(97 + i % 7)}w{i}": 1 + i % 3 for i in range(3000)}
+    rows = [(i, w) for i, (w, n) in enumerate(words.items()) for _ in range(n)] + [(5000, "hw7 hw8"), (5001, None), (None, "cw9")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sums = []
-    for most in (1 << 20, 1500, 0):
-        got = language_model.train_and_score(docs, most).collect()
-        assert len(got) == len(rows)
-        p = {r.doc_id: r.log_prob for r in got}
-        assert np.isclose(sum(np.exp(p[i]) for i in range(3000)), 1, atol=1e-3)
-        assert np.isclose(p[None], p[9]) and p[5001] is None
-        sums.append(np.array([p[i] for i in range(3000)]))
-    assert np.allclose(sums[0], sums[1], atol=1e-3) and np.allclose(sums[0], sums[2], atol=1e-3)
+    for own in (language_model.VOCABULARY, language_model.RARE + 500):
+        monkeypatch.setattr(language_model, "VOCABULARY", own)
+        sums = []
+        for most in (1 << 20, 1500, 0):
+            got = language_model.train_and_score(docs, most).collect()
+            assert len(got) == len(rows)
+            p = {r.doc_id: r.log_prob for r in got}
+            assert np.isclose(sum(np.exp(p[i]) for i in range(3000)), 1, atol=3e-3)
+            assert np.isclose(p[None], p[9]) and p[5001] is None
+            sums.append(np.array([p[i] for i in range(3000)]))
+        assert np.allclose(sums[0], sums[1], atol=1e-3) and np.allclose(sums[0], sums[2], atol=1e-3)
 
 
 def test_urls(spark):
