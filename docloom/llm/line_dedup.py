@@ -52,7 +52,6 @@ FILTER_BYTES = 16 << 20
 MEMO = 1 << 20
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 2**32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
-_ADD = _rng.integers(1, 2**32, BANDS * BAND_ROWS, dtype=np.uint32)
 _ID = np.uint64((1 << 44) - 1)
 
 
@@ -79,15 +78,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarr
 def bands(data: np.ndarray, offsets: np.ndarray, gram: int) -> np.ndarray:
     """lines x BANDS hashes of the bands of the MinHash signatures."""
     out = np.empty((len(offsets) - 1, BANDS), np.uint64)
-    for i, j in tv.pieces(offsets, 1 << 17):
+    for i, j in tv.pieces(offsets, 1 << 15):  # small enough to stay in a core's cache
         h, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], gram)
         h = (h >> np.uint64(32)).astype(np.uint32)
-        starts = at[:-1]
+        starts, v = at[:-1], np.empty_like(h)
         for b in range(BANDS):
             key = np.full(j - i, (b + 1) * 16 + gram, np.uint64)
             for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
-                v = h * _MUL[r]
-                v ^= _ADD[r]
+                np.multiply(h, _MUL[r], out=v)
                 key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, starts)
             out[i:j, b] = tv.mix(key)
     # the last bit tells the kind of the shingles
@@ -99,19 +97,20 @@ def families(length: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(GRAM, (length >= GRAM) & (length < NEAR)), (LONG_GRAM, length >= LONG)]
 
 
-def _hashes(text: pa.Array, second: bool = False) -> np.ndarray:
+def _hashes(text: pa.Array, number: int = 1) -> list[np.ndarray]:
     data, offsets = tv.flat(text)
-    out = np.empty(len(offsets) - 1, np.uint64)
-    for i, j in tv.pieces(offsets):
-        out[i:j] = tv.text_hash(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], second)
-    return out.view(np.int64)
+    out = [np.empty(len(offsets) - 1, np.uint64) for _ in range(number)]
+    for i, j in tv.pieces(offsets, 1 << 16):
+        for h, x in zip(out, tv.text_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], number), strict=True):
+            h[i:j] = x
+    return [h.view(np.int64) for h in out]
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tv.parts(batches):
         row, number, text = lines_of(batch)
         if len(row):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("doc_id", "copy")), pa.array(number.astype(np.int32)), pa.array(_hashes(text)), pa.array(_hashes(text, True))], ["doc_id", "copy", "line_no", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("doc_id", "copy")), pa.array(number.astype(np.int32)), *map(pa.array, _hashes(text, 2))], ["doc_id", "copy", "line_no", "h1", "h2"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +118,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     met: set[int] = set()
     for batch in tv.parts(batches):
         _, _, text = lines_of(batch)
-        h, first = np.unique(_hashes(text), return_index=True)
+        h, first = np.unique(_hashes(text)[0], return_index=True)
         new = np.fromiter((x not in met for x in h.tolist()), bool, len(h))
         h, text = h[new], text.take(pa.array(first[new]))
         if len(met) > MEMO:
@@ -183,11 +182,11 @@ def _text_rows(bits: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.parts(batches):
             _, _, text = lines_of(batch)
-            h, first = np.unique(_hashes(text), return_index=True)
+            h, first = np.unique(_hashes(text)[0], return_index=True)
             hit = _in_filter(bits, h)
             if hit.any():
                 text = text.take(pa.array(first[hit]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(_hashes(text, True)), text.cast(pa.string())], ["h1", "h2", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(_hashes(text, 2)[1]), text.cast(pa.string())], ["h1", "h2", "body"])
 
     return rows
 
@@ -278,15 +277,25 @@ def bucket_edges(text: pa.Array, key: np.ndarray, starts: np.ndarray) -> tuple[n
         inside = np.arange(length.sum()) + np.repeat(offsets[rows] - tv.spans(length)[:-1], length)
         sets = Sets(data[inside], tv.spans(length), g)
         few = np.flatnonzero(np.repeat(size[own] <= 8, size[own]))
+        part = np.arange(len(rows))  # lines that are joined have the same
         for step in range(1, 8):
             p = few[few + step < ends[few]]
             if not len(p):
                 break
             c = p + step
-            ok = _judged(length, g, p, c)
+            ok = (part[p] != part[c]) & _judged(length, g, p, c)
             p, c = p[ok], c[ok]
             hit = sets.similar(p, c)
-            out.append(rows[np.stack((p[hit], c[hit]), 1)])
+            p, c = p[hit], c[hit]
+            out.append(rows[np.stack((p, c), 1)])
+            if step == 1:
+                new = np.ones(len(rows), bool)
+                new[c] = False
+                part = np.cumsum(new)
+            else:
+                for x, y in zip(p.tolist(), c.tolist(), strict=True):
+                    near = slice(max(0, x - 8), y + 8)
+                    part[near][part[near] == part[y]] = part[x]
         many = np.flatnonzero(size[own] > 8)
         bits = sets.bits() if len(many) else None
         lost = sets.size - np.bitwise_count(bits).sum(1, dtype=np.int64) if len(many) else None

@@ -117,20 +117,28 @@ def beginnings(data: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -
     return np.concatenate(found) if found else total[:0], np.concatenate(owner) if owner else live[:0]
 
 
-def text_hash(data: np.ndarray, offsets: np.ndarray, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of each text's bytes, or another one; 0-length texts share one value. A byte's weight depends on its place, however long the text."""
-    byte, power = (_BYTE_2, _POW_2) if second else (_BYTE, _POW)
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def text_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each text's bytes; 0-length texts share one value. A byte's weight depends on its place, however long the text."""
+    return text_hashes(data, offsets, 1)[0]
+
+
+def text_hashes(data: np.ndarray, offsets: np.ndarray, number: int = 2) -> list[np.ndarray]:
+    """One or two independent hashes of each text."""
     length = np.diff(offsets)
     full = np.flatnonzero(length)
+    out = [np.zeros(len(length), np.uint64) for _ in range(number)]
     if len(full):
         starts = offsets[:-1][full]
-        where = np.arange(len(data), dtype=np.int64) - np.repeat(starts, length[full])
-        value = byte[data] * power[where & (_POW_N - 1)]
-        if length.max() > _POW_N:
-            value *= mix((where >> 16).astype(np.uint64)) | U64(1)
-        out[full] = np.add.reduceat(value, starts)
-    return mix(out + length.astype(np.uint64) * _MIX2)
+        where = np.arange(len(data), dtype=np.int64)
+        where -= np.repeat(starts, length[full])
+        low = where & (_POW_N - 1) if length.max() > _POW_N else where
+        for h, byte, power in zip(out, (_BYTE, _BYTE_2), (_POW, _POW_2), strict=False):
+            value = byte[data]
+            value *= power[low]
+            if low is not where:
+                value *= mix((where >> 16).astype(np.uint64)) | U64(1)
+            h[full] = np.add.reduceat(value, starts)
+    return [mix(h + length.astype(np.uint64) * _MIX2) for h in out]
 
 
 def grams(data: np.ndarray, n: int = 8) -> np.ndarray:
