@@ -491,7 +491,7 @@ def train_and_score(docs: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     # the id only has to tell the rows that are written apart
     rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_shared_rows(shared, shares), "row long, doc_id long, tokens binary, known double, rest array<long>")
     tokens, _ = cut(rows, "tokens")
-    totals = spark.createDataFrame([(k, int(n)) for k, n in enumerate(counts[len(words.hashes) :])], "group int, total long")
+    totals = spark.createDataFrame([(k, int(n)) for k, n in enumerate(counts[len(words.hashes) :]) if n], "group int, total long")
     share = counted.join(F.broadcast(totals), "group").select("word", F.log(F.col("n") / F.col("total")).alias("log"))
     looked_up = tokens.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     tail = looked_up.join(share, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("tail"))
