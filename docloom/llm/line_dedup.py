@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
 from docloom.llm.components import components
-from docloom.llm.shared import cut, forest, free_name, ids_and_texts, maybe_broadcast, small_batches, sorted_runs, whole_id
+from docloom.llm.shared import cut, filter_of, forest, free_name, ids_and_texts, in_filter, maybe_broadcast, small_batches, sorted_runs, whole_id
 
 GRAM, LONG_GRAM = 4, 8
 LONG, NEAR = 96, 138
@@ -46,8 +46,6 @@ MIN_JACCARD = 0.7
 HOT = 20_000
 #: Lines that a band may have to be told by its lines.
 WHOLE = 4096
-#: Bytes that the filter of lines with candidates has at most; with more lines it only lets more others pass.
-FILTER_BYTES = 16 << 20
 #: Lines that a task remembers, so as not to band them again.
 MEMO = 1 << 20
 _rng = np.random.default_rng(77)
@@ -183,7 +181,7 @@ def _text_rows(bits: np.ndarray):
         for batch in tv.parts(batches):
             _, _, text = lines_of(batch)
             h, first = np.unique(_hashes(text)[0], return_index=True)
-            hit = _in_filter(bits, h)
+            hit = in_filter(bits, h)
             if hit.any():
                 text = text.take(pa.array(first[hit]))
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(_hashes(text, 2)[1]), text.cast(pa.string())], ["h1", "h2", "body"])
@@ -191,36 +189,6 @@ def _text_rows(bits: np.ndarray):
     return rows
 
 
-def _slots(n_bytes: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = tv.mix(h.view(np.uint64) * np.uint64(3))
-    m = np.uint64(n_bytes * 8)
-    return (u >> np.uint64(32)) % m, (u & np.uint64(0xFFFFFFFF)) * np.uint64(40503) % m
-
-
-def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one, two = _slots(len(bits), h)
-    test = lambda s: (bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1
-    return (test(one) & test(two)).astype(bool)
-
-
-def _filter_of(ids: DataFrame, n: int) -> np.ndarray:
-    """A Bloom filter of the ids, built by partial filters in the tasks."""
-    n_bytes = min(FILTER_BYTES, 1 << max(10, int(np.ceil(np.log2(max(1, n) * 10 / 8)))))
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b.column("line").to_numpy() for b in batches]
-        if parts and sum(map(len, parts)):
-            byte = np.unique(np.concatenate([np.concatenate(_slots(n_bytes, p)) for p in parts]))
-            at, starts = np.unique((byte >> np.uint64(6)).astype(np.int64), return_index=True)
-            word = np.bitwise_or.reduceat(np.uint64(1) << (byte & np.uint64(63)), starts)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(word.view(np.int64))], ["at", "word"])
-
-    got = ids.mapInArrow(partial, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    bits = np.zeros(n_bytes // 8, np.int64)
-    bits[got["at"].to_numpy()] = got["word"].to_numpy()
-    return bits.view(np.uint8)
-
-
 class Sets:
     """The shingle sets of lines, sorted, as numbers of 44 bits under the number of the line."""
 
@@ -360,7 +328,7 @@ def _duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     banded = rows.select("text").mapInArrow(_band_rows, "key long, line long")
     crowded, _ = cut(banded.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_crowded_rows, "line long, key long").distinct(), "crowded")
     ids = crowded.select("line").distinct()
-    bodies = rows.select("text").mapInArrow(_text_rows(_filter_of(crowded.select("line"), ids.count())), "h1 long, h2 long, body string").groupBy("h1", "h2").agg(F.first("body").alias("body"))
+    bodies = rows.select("text").mapInArrow(_text_rows(filter_of(ids, ids.count())), "h1 long, h2 long, body string").groupBy("h1", "h2").agg(F.first("body").alias("body"))
     edges, _ = cut(_met(crowded, bodies, hot).mapInArrow(_edge_rows, "a1 long, a2 long, b1 long, b2 long"), "line-edges")
     groups, n = _groups(edges)
     labelled = lines.join(maybe_broadcast(groups, n, 24), ["h1", "h2"], "left")

@@ -88,6 +88,42 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _slots(n_bytes: int, h: np.ndarray) -> list[np.ndarray]:
+    u, m = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(n_bytes * 8)
+    u ^= u >> np.uint64(29)
+    return [(u >> np.uint64(32)) % m, (u & np.uint64(0xFFFFFFFF)) * np.uint64(40503) % m, ((u >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) * np.uint64(60013) % m]
+
+
+def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit hash may be in a Bloom filter (its bytes)."""
+    out = np.ones(len(h), np.uint8)
+    for s in _slots(len(bits), h):
+        out &= (bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+    return out.astype(bool)
+
+
+def filter_of(ids: DataFrame, n: int, most: int = 16 << 20, bits: int = 16) -> np.ndarray:
+    """A Bloom filter of about n values of the one column, `bits` for each, built by partial filters in the tasks.
+
+    With more values than `most` bytes hold it keeps that size and lets more others pass: whatever it lets pass
+    is joined exactly, so the rows are the same.
+    """
+    n_bytes, name = min(most, 1 << max(10, int(np.ceil(np.log2(max(1, n) * bits / 8))))), ids.columns[0]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(name).to_numpy() for b in batches]
+        if parts and sum(map(len, parts)):
+            bit = np.unique(np.concatenate([x for p in parts for x in _slots(n_bytes, p)]))
+            at, starts = np.unique((bit >> np.uint64(6)).astype(np.int64), return_index=True)
+            word = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), starts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(word.view(np.int64))], ["at", "word"])
+
+    got = ids.mapInArrow(partial, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(n_bytes // 8, np.int64)
+    out[got["at"].to_numpy()] = got["word"].to_numpy()
+    return out.view(np.uint8)
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables that hold only whole runs of equal keys, with the runs' offsets, from a stream sorted by key."""
     held: list[pa.RecordBatch] = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -347,13 +348,52 @@ def test_decontaminate(spark, awkward, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0 and decontaminate.decontaminate(awkward, bench.limit(0)).count() == len(AWKWARD)
 
 
-def test_smallest_benchmark(spark):
-    """One item of the least length is found on both paths."""
-    item = prose(decontaminate.SHORTEST, 800)
-    docs = spark.createDataFrame([(1, f"{prose(30, 801)} {item} {prose(30, 802)}"), (2, prose(60, 803))], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+def brute_overlaps(docs, items) -> set[tuple[int, int, int]]:
+    """(doc_id, item_id, equal words of the best window) of every pair that overlaps, all alignments laid over each other."""
+    need = lambda m: m if m < decontaminate.SHORTEST else int(np.ceil(0.8 * min(m, 12) - 1e-9))
+    words = lambda t: np.array(re.findall(r"[^\W_]+", t.lower()) or [""])
+    found = set()
+    for item_id, text in items:
+        b = words(text)
+        m, width = len(b), min(len(b), 12)
+        if m < decontaminate.LEAST:
+            continue
+        for doc_id, a in docs:
+            eq = np.zeros((len(a) + 2 * m, m), np.int64)
+            eq[m : m + len(a)] = a[:, None] == b
+            # one row for each shift: the words of the item against those of the document from there on
+            lines = np.lib.stride_tricks.as_strided(eq, (len(a) + m, m), (eq.strides[0], eq.strides[0] + eq.strides[1]))
+            run = np.concatenate((np.zeros((len(lines), 1), np.int64), lines.cumsum(1)), 1)
+            best = (run[:, width:] - run[:, :-width]).max()
+            if best >= need(m):
+                found.add((doc_id, item_id, int(best)))
+    return found
+
+
+def test_decontaminate_against_all_alignments(spark, docs):
+    """Both ways of finding seeds give what laying all items over all documents gives."""
+    bench = [(r.item_id, r.text) for r in table(spark, DATA, "benchmark").limit(40).collect()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    longest = max(texts.values(), key=len).split()
+    bench += [(900, " ".join(longest[50:55])), (901, " ".join(longest[80:87])), (902, " ".join([*longest[110:114], "qqq", *longest[115:119]])), (903, " ".join(longest[7:11])), (904, "one two"), (905, " ".join([*longest[60:63], "qqq", *longest[64:66]]))]
+    split = [(d, np.array(re.findall(r"[^\W_]+", t.lower()) or [""])) for d, t in texts.items()]
+    want = brute_overlaps(split, bench)
+    frame = spark.createDataFrame(bench, "item_id long, text string")
     for most in (decontaminate.BROADCAST_SEEDS, 0):
-        assert [(r.doc_id, r.item_id) for r in decontaminate.overlaps_with(docs, bench, most).collect()] == [(1, 1)]
+        assert {(r.doc_id, r.item_id, r.matches) for r in decontaminate.overlaps_with(docs, frame, most).collect()} == want
+    assert {i for _, i, _ in want} & {900, 901, 902} == {900, 901, 902} and not {903, 904, 905} & {i for _, i, _ in want}
+
+
+def test_smallest_benchmark(spark):
+    """One item of the least length is found on both paths, and another text of the same doc_id stays."""
+    for n in (decontaminate.LEAST, decontaminate.SHORTEST):
+        item = prose(n, 800)
+        rows = [(1, f"{prose(30, 801)} {item} {prose(30, 802)}"), (2, prose(60, 803)), (1, prose(60, 804))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+        for most in (decontaminate.BROADCAST_SEEDS, 0):
+            assert [(r.doc_id, r.item_id) for r in decontaminate.overlaps_with(docs, bench, most).collect()] == [(1, 1)]
+            assert sorted(map(tuple, decontaminate.decontaminate(docs, bench, most).collect())) == sorted(rows[1:])
 
 
 def test_lines(spark, awkward, empty):
