@@ -6,14 +6,15 @@ preferred document (labelled good and not toxic) and one that isn't. Documents u
 scores of preferred documents are rejected.
 
 Half of the labelled documents (by hash of the id) are there to fit, of which at most FIT_DOCS are used, those with the
-lowest hashes; all of the other half set the threshold, each at its score. Features are counted over the
+lowest hashes; all others set the threshold, each at its score. Features are counted over the
 whole text: shares of the byte classes, repetition of words and of word triples, lengths, and the rates of
 the words and word beginnings that the sample shows often enough.
 
 Defined results: a null text scores null and is kept, as nothing speaks against it; an empty one has the
 features of no text and is scored. A label with a null quality and no toxic mark is not used, and the worst
 of several labels of one document counts. Without labelled documents of both kinds nothing is rejected and
-scores are null. A rejected doc_id is rejected in all rows whose text scores low; ties with the threshold stay.
+scores are null. Of several texts of one doc_id the one of the least hash is there to fit, all set the
+threshold. Ids that are no whole numbers have no label. A rejected doc_id is rejected in all rows whose text scores low; ties with the threshold stay.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import small_batches
+from docloom.llm.shared import free_name, ids_and_texts, small_batches, whole_id
 
 FIT_DOCS = 6000
 VOCABULARY = 16384
@@ -195,49 +196,57 @@ def _rates(words: list[np.ndarray], counts: pa.ChunkedArray, n_words: np.ndarray
 
 
 def preferences(labels: DataFrame) -> DataFrame:
-    """(doc_id, good, part): each labelled document once; part 0 fits, part 1 sets the threshold."""
+    """(doc_id, good, h, part): each labelled document once; documents of part 0 may be used to fit."""
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) != 0
-    marked = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(toxic, 0).otherwise(F.col("quality")).alias("q")).where("q is not null")
+    marked = labels.select(whole_id(labels, "doc_id").alias("doc_id"), F.when(toxic, 0).otherwise(F.col("quality")).alias("q")).where("doc_id is not null and q is not null")
     return marked.groupBy("doc_id").agg((F.min("q") > 0).alias("good")).withColumn("h", F.xxhash64("doc_id", F.lit("fit"))).withColumn("part", F.col("h").bitwiseAND(F.lit(1)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[DataFrame, Model | None]:
-    """The documents with columns __score and, for a part of the labelled ones, what sets the threshold."""
+def to_fit(labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """The labelled documents, `fit_docs` at most, that fit the model."""
+    return preferences(labels).where("part = 0").orderBy("h", "doc_id").limit(fit_docs)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = preferences(labels).where("part = 0").orderBy("h", "doc_id").limit(fit_docs)
-    sample = texts.where("doc_id is not null and text is not null").join(F.broadcast(chosen.select("doc_id", "good")), "doc_id")
-    rows = sample.mapInArrow(_sample_rows, "doc_id long, good boolean, dense binary, words binary, counts binary, n long").toArrow()
-    model = None
-    if rows.num_rows:
-        kept = rows.select(["doc_id", "good"]).to_pandas().drop_duplicates("doc_id").sort_values("doc_id").index
-        model = fit(rows.take(pa.array(kept)))
-    if model is None:
-        return docs.withColumn("__score", F.lit(None).cast("double")), None
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    texts = ids_and_texts(docs).where("doc_id is not null and text is not null")
+    # repeated rows are merged before they leave their tasks
+    sample = texts.join(F.broadcast(to_fit(labels, fit_docs).select("doc_id", "good")), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = sample.select("doc_id", "good", "t.text").mapInArrow(_sample_rows, "doc_id long, good boolean, dense binary, words binary, counts binary, n long").toArrow()
+    return fit(rows.sort_by("doc_id")) if rows.num_rows else None
+
+
+def score_of(text: Column, model: Model, session: SparkSession) -> Column:
+    shared = session.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         return pa.array(shared.value.scores(text), mask=text.is_null().to_numpy(zero_copy_only=False))
 
-    return docs.withColumn("__score", F.round(score(docs["text"].cast("string")) / GRID) * GRID), model
+    # marked so that the optimiser does not repeat the call in a filter
+    call = F.arrow_udf(score, "double").asNondeterministic()
+    return F.round(call(text.cast("string")) / GRID) * GRID
 
 
-def threshold(all_scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> float | None:
-    """The score under which a document is rejected: counted over every preferred document that didn't fit the model."""
-    good = preferences(labels).where("part = 1 and good").select(F.col("doc_id").alias("__id"))
-    hist = all_scored.select(F.col("doc_id").cast("long").alias("__id"), F.col("__score")).where("__score is not null").join(good, "__id").groupBy("__score").count().toArrow()
+def threshold(docs: DataFrame, labels: DataFrame, model: Model, quantile: float = QUANTILE, fit_docs: int = FIT_DOCS) -> float | None:
+    """The score under which a document is rejected: counted over every preferred document that didn't fit the model; only those are scored."""
+    good = preferences(labels).where("good").join(to_fit(labels, fit_docs).select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    some = ids_and_texts(docs).where("text is not null").join(good, "doc_id", "left_semi")
+    hist = some.select(score_of(F.col("text"), model, docs.sparkSession).alias("score")).groupBy("score").count().toArrow()
     if not hist.num_rows:
         return None
-    s, n = hist["__score"].to_numpy(), hist["count"].to_numpy()
+    s, n = hist["score"].to_numpy(), hist["count"].to_numpy()
     order = np.argsort(s)
     return float(s[order][np.searchsorted(n[order].cumsum(), quantile * n.sum(), "right")])
 
 
-def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their __score and the __threshold."""
-    found, model = scored(docs, labels)
-    least = threshold(found, labels) if model is not None else None
-    if least is None:
-        return found.withColumn("__threshold", F.lit(None).cast("double"))
-    return found.where(F.col("__score").isNull() | F.isnan("__score") | (F.col("__score") >= F.lit(least - GRID / 2))).withColumn("__threshold", F.lit(least))
+def kept(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[DataFrame, str, str]:
+    """The documents that are not rejected with two more columns, and the names of these: the score and the threshold."""
+    model = fitted(docs, labels, fit_docs)
+    least = threshold(docs, labels, model, fit_docs=fit_docs) if model is not None else None
+    score, limit = free_name(docs, "__score"), free_name(docs, "__threshold")
+    if model is None:
+        return docs.withColumns({score: F.lit(None).cast("double"), limit: F.lit(None).cast("double")}), score, limit
+    found = docs.withColumn(score, score_of(docs["text"], model, docs.sparkSession))
+    if least is not None:
+        found = found.where(F.col(score).isNull() | F.isnan(score) | (F.col(score) >= F.lit(least - GRID / 2)))
+    return found.withColumn(limit, F.lit(least).cast("double")), score, limit
