@@ -10,15 +10,17 @@ Pairs are found without gathering a host anywhere: lines are ranked by (host, li
 order) over range partitions, which may end within a host and within a line's run; the runs are joined over
 the ends of partitions. Only hashes of lines are exchanged; texts are cut again where the page lies.
 
-A copy of a page says nothing about the host's template and is no pair for it. A page that shares more than
-COPY_SHARE of its text with another is a copy of that page, unless it is a short page of the other's template:
+A copy of a page says nothing about the host's template and is no pair for it. Lines that more than FEW pages
+and more than MOST of a host's pages have are its template for sure and don't count in what follows; a page
+that has no other lines has nothing to keep and no pair. A page that shares more than COPY_SHARE of its text with another is a copy of that page, unless it is a short page of the other's template:
 what they share is less of the other's text, and it is not the page's body, the lines that at most FEW pages of
 the table have. Copies are grouped transitively, and a line whose nearest page is in the group of its own
 page names the next page in the line's run that isn't. If that one turns out to be a copy too, it is no pair.
 
 Defined results: a null html has a null text; an empty page, or one of markup only, an empty text. A page
 without a pair (a null or hostless URL, a host with one page, nothing shared) keeps all lines. Repeated rows
-of one page count once and get the same text. Unclosed comments and scripts reach to the end.
+of one page count once and get the same text. Unclosed comments, scripts and styles reach to the end; an
+unclosed head ends where the page's body begins.
 """
 
 from __future__ import annotations
@@ -36,21 +38,30 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
 from docloom.llm.components import components
-from docloom.llm.shared import cut, maybe_broadcast, small_batches
+from docloom.llm.shared import cut, maybe_broadcast, small_batches, whole_id
 from docloom.llm.urls import host_of, path_of
 
 #: Share of a page's text, and of its body, from which on what it has in common with another makes it a copy.
 COPY_SHARE = 0.75
+#: Share of its host's pages past which a line is template for sure.
+MOST = 0.75
 #: Pages of the table that a line of a body is on at most: templates are on more, copies of one page seldom are.
 FEW = 3
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: What is no markup inside; unclosed, it reaches to the end.
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Parts without text for readers: whole if they are closed, else only their tags. A head ends where the page begins, too.
+_PARTS = re.compile(
+    r"<svg\b[^>]*/>|<(noscript|template|svg)\b[^>]*>.*?</\1\s*>"
+    r"|<head\b[^>]*>(?:(?!<(?:body|p|div|main|article|section|nav|header|footer|aside|h[1-6]|ul|ol|dl|table|form|pre|blockquote|a|img|span|hr)\b).)*?(?:</head\s*>|(?=<(?:body|p|div|main|article|section|nav|header|footer|aside|h[1-6]|ul|ol|dl|table|form|pre|blockquote|a|img|span|hr)\b)|\Z)",
+    re.S | re.I,
+)
 _INLINE = re.compile(r"</?(?:a|abbr|b|bdi|bdo|cite|code|data|dfn|em|font|i|kbd|label|mark|q|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<(?:/?[A-Za-z][^>]*|![^>]*|\?[^>]*)>")
 
 
 def lines_of(page: str) -> list[str]:
     """The lines of a page that have text, white space squeezed."""
-    page = _TAG.sub("\n", _INLINE.sub("", _DROP.sub(" ", page)))
+    page = _TAG.sub("\n", _INLINE.sub("", _PARTS.sub(" ", _RAW.sub(" ", page))))
     return [y for x in html.unescape(page).split("\n") if (y := " ".join(x.split()))]
 
 
@@ -187,7 +198,7 @@ def _past_copies(links: DataFrame, roots: DataFrame, n: int) -> DataFrame:
 def _votes(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(a, b, votes, copy) for each page b that lines of a name; the sizes of lines of a body are negative."""
     votes = links.groupBy("a", "b").agg(F.count("*").alias("votes"), F.sum(F.abs("size")).alias("common"), F.sum(F.greatest(-F.col("size"), F.lit(0))).alias("both"))
-    met = votes.join(pages.select(F.col("place").alias("a"), "total", "body"), "a").join(pages.select(F.col("place").alias("b"), F.col("total").alias("other")), "b")
+    met = votes.join(pages.select(F.col("place").alias("a"), "total", "body"), "a").join(pages.select(F.col("place").alias("b"), F.col("total").alias("other")), "b").where("total > 0")
     most = lambda c: F.col("common") > COPY_SHARE * F.col(c)
     copy = most("total") & (most("other") | (F.col("body") == 0) | (F.col("both") > COPY_SHARE * F.col("body")))
     return cut(met.select("a", "b", "votes", copy.alias("copy")), "votes")[0]
@@ -208,8 +219,13 @@ def shared_lines(rows: DataFrame) -> DataFrame:
     placed = lined.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     pages, _ = cut(placed.select("place", "page_id", "uid", F.xxhash64("host").alias("host"), "hashes", "lines", "sizes"), "page-lines")
     each = pages.select("place", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("l")).select("place", "host", F.col("l.lines").alias("line"), F.col("l.sizes").alias("size"))
-    rare = each.groupBy("line").count().where(F.col("count") <= FEW).select("line", F.lit(-1).alias("sign"))
-    seen, _ = cut(each.join(rare, "line", "left").select(F.xxhash64("host", "line").alias("key"), "place", (F.col("size") * F.coalesce("sign", F.lit(1))).alias("size")), "page-keys")
+    # of a line: -1 on few pages of the table, 0 on most of its host's, else 1
+    per_host, _ = cut(each.groupBy("host", "line").agg(F.count("*").alias("on")), "host-lines")
+    few = per_host.groupBy("line").agg(F.sum("on").alias("all")).where(F.col("all") <= FEW).select("line", F.lit(-1).alias("few"))
+    hosts = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > FEW)
+    most = per_host.where(F.col("on") > FEW).join(maybe_broadcast(hosts, hosts.count()), "host").where(F.col("on") > MOST * F.col("n")).select("host", "line", F.lit(0).alias("most"))
+    marked = each.join(few, "line", "left").join(most, ["host", "line"], "left")
+    seen, _ = cut(marked.select(F.xxhash64("host", "line").alias("key"), "place", (F.col("size") * F.coalesce("most", "few", F.lit(1))).alias("size")), "page-keys")
     sums = seen.groupBy("place").agg(F.sum(F.abs("size")).alias("total"), F.sum(F.greatest(-F.col("size"), F.lit(0))).alias("body"))
     sums, _ = cut(sums, "page-sizes")
     links = _links(seen)
@@ -228,7 +244,7 @@ def shared_lines(rows: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, pair_id, n_lines, n_deleted, text) of every page."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = pages.select(whole_id(pages, "page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     uid = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "url", "html")))
     rows = rows.withColumn("uid", uid)
@@ -246,5 +262,5 @@ def main_text(pages: DataFrame) -> DataFrame:
             out.append((len(text), len(drop), "\n".join(x for i, x in enumerate(text) if i not in drop)))
         return pd.DataFrame({"n_lines": pd.array([o[0] for o in out], "Int32"), "n_deleted": pd.array([o[1] for o in out], "Int32"), "text": pd.Series([o[2] for o in out], dtype=object)})
 
-    met = rows.join(maybe_broadcast(found, found.count()), "uid", "left")
+    met = rows.join(maybe_broadcast(found, found.count(), 120), "uid", "left")
     return met.select("page_id", "url", "pair_id", kept("html", "gone").alias("k")).select("page_id", "url", "pair_id", "k.*")
