@@ -8,7 +8,12 @@ remembered, so each is left once at most and the time is linear in the piece. Co
 tokens is memoised. The result equals that of merging the lowest rank first.
 
 Defined results: a null text gives null tokens, an empty text an empty list. Strings that name special
-tokens are ordinary text.
+tokens are ordinary text. Decoding bytes that are no UTF-8 (a list cut within a character) gives U+FFFD for
+them; a list with a null or with a number that is no token gives a null text. Ids that are no whole numbers
+are null in the result.
+
+Whether two adjacent tokens are compatible is told as in the public linear-time encoders: split both back
+along the merges that made them and see whether an earlier merge would cross the boundary.
 """
 
 from __future__ import annotations
@@ -22,10 +27,9 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import small_batches
+from docloom.llm.shared import ids_and_texts, small_batches, whole_id
 
 #: How the vocabulary's texts were cut into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -158,8 +162,15 @@ class Coder:
     def encode(self, text: str) -> Iterator[int]:
         return chain.from_iterable(map(self.pieces.__getitem__, self.split(text)))
 
-    def decode(self, tokens) -> str:
-        return b"".join(map(self.bytes.__getitem__, tokens)).decode()
+    def raw(self, tokens) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, tokens))
+
+    def decode(self, tokens) -> str | None:
+        """The text, U+FFFD for what is no UTF-8; None for a number that is no token."""
+        try:
+            return self.raw(tokens).decode(errors="replace")
+        except KeyError:
+            return None
 
 
 def coder(path: str) -> Coder:
@@ -179,7 +190,7 @@ def _rows(path: str):
                 if text is not None:
                     start = len(flat)
                     flat.extend(c.encode(text))
-                    same.append(c.decode(flat[start:]) == text)
+                    same.append(c.raw(flat[start:]) == text.encode())
                 else:
                     same.append(None)
                 offsets.append(len(flat))
@@ -195,12 +206,12 @@ def _rows(path: str):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip) of every row; round_trip tells whether decoding gives the text again."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_rows(path), OUT)
+    return ids_and_texts(docs).mapInArrow(_rows(path), OUT)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of rows with a doc_id and tokens; null tokens give a null text."""
+    small_batches(tokens.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
@@ -208,4 +219,4 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
             text = [None if t is None else c.decode(t) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "tokens").mapInArrow(rows, "doc_id long, text string")
+    return tokens.select(whole_id(tokens, "doc_id").alias("doc_id"), "tokens").mapInArrow(rows, "doc_id long, text string")
