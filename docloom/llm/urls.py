@@ -4,8 +4,8 @@ A listed entry is a canonical URL, or a host or a path prefix of one with its cl
 an entry that equals one of its keys: the canonical URL, the same without its query, and each of its parent
 paths up to the bare host and that host's parent domains. The keys are made and hashed in the JVM; blocks of
 256 bits, one bit in each of eight words, let possible hits pass; the hash join on the whole strings removes
-those that only collide. A filter that would be larger than MAX_BYTES is left out, and the join alone gives
-the same rows.
+those that only collide. A filter has MAX_BYTES at most: with more entries it lets more other keys pass to
+the join, which gives the same rows.
 
 Canonical form: lower-case scheme and host without user, default port, trailing dot and `www.`; no scheme and
 no fragment; path without trailing slash (the bare host keeps one); query without tracking parameters, the
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import cut, maybe_broadcast
+from docloom.llm.shared import cut, free_name, maybe_broadcast, whole_id
 
 #: Names of query parameters that do not choose a page.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
@@ -80,7 +80,7 @@ class BlockedBloom:
     """A filter of 64-bit hashes: each has one block of eight 32-bit words and one bit in each of them."""
 
     def __init__(self, n: int) -> None:
-        self.blocks = max(1, -(-n * BITS_PER_KEY // 256))
+        self.blocks = max(1, min(MAX_BYTES // 32, -(-n * BITS_PER_KEY // 256)))
         self.words = np.zeros(self.blocks * 8, np.uint32)
 
     @staticmethod
@@ -109,17 +109,14 @@ class BlockedBloom:
         return ((self.words[at] & bit) == bit).all(1)
 
 
-def bloom_of(entries: DataFrame, n: int) -> BlockedBloom | None:
-    """The filter of column `entry`, made from the tasks' partial filters; None where it would be too large."""
+def bloom_of(entries: DataFrame, n: int) -> BlockedBloom:
+    """The filter of column `entry`, made from the tasks' partial filters."""
     out = BlockedBloom(n)
-    if out.words.nbytes > MAX_BYTES:
-        return None
-    blocks = n
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [b.column("h").to_numpy() for b in batches]
         if sum(map(len, hashes)):
-            at, value = BlockedBloom(blocks).partial(np.concatenate(hashes))
+            at, value = BlockedBloom(n).partial(np.concatenate(hashes))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(value.astype(np.int64))], ["at", "word"])
 
     got = entries.select(F.xxhash64("entry").alias("h")).mapInArrow(partial, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
@@ -133,28 +130,26 @@ def hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
     entries, _ = cut(listed.select(F.col("entry").cast("string").alias("entry")).where("entry is not null and entry <> ''").distinct(), "listed")
     n = entries.count()
     keyed = with_parts(urls.select(F.col("url").cast("string").alias("url"))).select("url", F.explode(keys()).alias("key"))
-    bloom = bloom_of(entries, n)
-    if bloom is not None:
-        shared = spark.sparkContext.broadcast(bloom)
+    shared = spark.sparkContext.broadcast(bloom_of(entries, n))
 
-        @F.pandas_udf("boolean")
-        def possible(h: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.may_have(h.to_numpy(np.int64)), index=h.index)
+    @F.pandas_udf("boolean")
+    def possible(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.may_have(h.to_numpy(np.int64)), index=h.index)
 
-        keyed = keyed.where(possible(F.xxhash64("key")))
-    met = keyed.join(maybe_broadcast(entries, n), F.col("key") == F.col("entry"))
+    met = keyed.where(possible(F.xxhash64("key"))).join(maybe_broadcast(entries, n, 80), F.col("key") == F.col("entry"))
     return met.groupBy("url").agg(F.min(F.struct(-F.length("entry"), "entry")).alias("e")).select("url", F.col("e.entry").alias("entry"))
 
 
 def judged(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """Every page as (page_id, url, canonical_url, entry): the entry that lists it, null for a page that may stay."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    rows = pages.select(whole_id(pages, "page_id").alias("page_id"), F.col("url").cast("string").alias("url"))
     found, _ = cut(hits(rows, listed), "url-hits")
-    return with_parts(rows).join(maybe_broadcast(found, found.count()), "url", "left").select("page_id", "url", canonical().alias("canonical_url"), "entry")
+    return with_parts(rows).join(maybe_broadcast(found, found.count(), 160), "url", "left").select("page_id", "url", canonical().alias("canonical_url"), "entry")
 
 
 def allowed(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """The pages that no entry hits, all columns as they were."""
     found, _ = cut(hits(pages.select(F.col("url").cast("string").alias("url")), listed), "url-hits")
-    gone = found.select(F.col("url").alias("__gone"))
-    return pages.join(maybe_broadcast(gone, found.count()), pages["url"].cast("string") == gone["__gone"], "left_anti")
+    key = free_name(pages, "__gone")
+    gone = found.select(F.col("url").alias(key))
+    return pages.join(maybe_broadcast(gone, found.count(), 80), pages["url"].cast("string") == gone[key], "left_anti")
