@@ -44,8 +44,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are not rejected, with their scores."""
-    found = quality.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", F.col("__score").alias("score"), F.col("__threshold").alias("threshold"))
+    found, score, threshold = quality.kept(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col(score).alias("score"), F.col(threshold).alias("threshold"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's token count, through a cache that starts empty."""
-    return token_counts.counts(table(spark, sf_dir, "documents"), BYTE_BPE, path_in_shared(spark, "token-cache"))
+    """Every document's token count, through a cache that an earlier count of the English ones has filled in part."""
+    docs, cache = table(spark, sf_dir, "documents"), path_in_shared(spark, "token-cache")
+    token_counts.counts(docs.where("lang = 'en'"), BYTE_BPE, cache)
+    return token_counts.counts(docs, BYTE_BPE, cache)
 
 
 def pictures(embeddings: DataFrame) -> DataFrame:

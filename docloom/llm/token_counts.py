@@ -10,7 +10,7 @@ left out (stored, or repeated) are too many to broadcast. Normalised content has
 ends and no white space at its end.
 
 Defined results: a null text has null counts, an empty one 0 tokens. Rows repeat as often as they come, and
-equal texts share one cache row whatever their doc_id, null ids too. Names of special tokens are ordinary
+equal texts share one cache row whatever their doc_id, null ids too. Ids that are no whole numbers are null. Names of special tokens are ordinary
 text. Where two writers have stored one digest, the counts agree and one is read.
 """
 
@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import cut, maybe_broadcast, small_batches
+from docloom.llm.shared import cut, ids_and_texts, maybe_broadcast, small_batches
 
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _RULES = "crlf-to-lf,no-trailing-space,1"
@@ -88,14 +88,14 @@ def counts(docs: DataFrame, path: str, cache: str) -> DataFrame:
     """(doc_id, digest, n_bytes, n_tokens, was_stored) of every row; `cache` is a folder that all executors share."""
     small_batches(docs.sparkSession)
     spark, version = docs.sparkSession, version_of(path)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("body"))
+    rows = ids_and_texts(docs).select("doc_id", normalised(F.col("text")).alias("body"))
     keyed = rows.select("doc_id", digest_of(F.col("body")).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"))
     keys, _ = cut(keyed, "digests")
     some = keys.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     before, _ = cut(some.select("digest").join(stored(spark, cache, version), "digest").withColumn("was_stored", F.lit(True)), "stored")
     known, _ = cut(some.join(before.select("digest", "was_stored"), "digest", "left").where("n > 1 or was_stored").select("digest", "first", "was_stored"), "known-digests")
     texts = rows.where("body is not null").withColumn("digest", digest_of(F.col("body")))
-    met = texts.join(maybe_broadcast(known, known.count()), "digest", "left")
+    met = texts.join(maybe_broadcast(known, known.count(), 48), "digest", "left")
     # a digest of one row needs no representative; of a repeated one the rows of the least id encode it
     todo = met.where("was_stored is null and (first is null or doc_id <=> first)").select("digest", "body")
     new = todo.mapInArrow(_encode(path), _CACHE).dropDuplicates(["digest"])

@@ -190,6 +190,10 @@ def test_urls(spark):
     assert len(got) == len(cases) + 1 and {r.url: r.entry for r in got} == cases
     assert {r.url for r in urls.allowed(pages, listed).collect()} == {u for u, e in cases.items() if e is None}
     assert urls.judged(pages.limit(0), listed).count() == 0 and urls.allowed(pages, listed.limit(0)).count() == len(cases) + 1
+    clash = pages.withColumn("__gone", F.lit("mine"))
+    assert urls.allowed(clash, listed).columns == clash.columns and {r["__gone"] for r in urls.allowed(clash, listed).collect()} == {"mine"}
+    long = spark.createDataFrame([(1, "http://a.com/" + "x/" * 3000), (2, "http://d.com/" + "x" * 50_000)], "page_id long, url string")
+    assert {r.page_id: r.entry for r in urls.judged(long, listed).collect()} == {1: "a.com/", 2: None}
     bloom, h = urls.BlockedBloom(2000), np.random.default_rng(1).integers(-(2**63), 2**63, 12_000)
     bloom.add(h[:2000])
     assert bloom.may_have(h[:2000]).all() and bloom.may_have(h[2000:]).mean() < 0.02
@@ -197,13 +201,58 @@ def test_urls(spark):
 
 def test_quality(spark, awkward, empty):
     labels = table(spark, DATA, "labels")
-    assert quality.kept(awkward, labels.limit(0)).count() == len(AWKWARD) and quality.kept(empty, labels).count() == 0
-    assert quality.kept(awkward, labels).where("text is null").count() == 2
+    assert quality.kept(awkward, labels.limit(0))[0].count() == len(AWKWARD) and quality.kept(empty, labels)[0].count() == 0
+    assert quality.kept(awkward, labels)[0].where("text is null").count() == 2
     big = "/root/testdata/sf0.1"
-    scored, model = quality.scored(table(spark, big, "documents"), table(spark, big, "labels"))
-    held = scored.join(quality.preferences(table(spark, big, "labels")).where("part = 1"), "doc_id").select("good", "__score").toPandas()
-    good, bad = held[held.good]["__score"].to_numpy(), held[~held.good]["__score"].to_numpy()
-    assert model is not None and (good[:, None] > bad).mean() > 0.9
+    docs, labels = table(spark, big, "documents"), table(spark, big, "labels")
+    model = quality.fitted(docs, labels)
+    marked = docs.join(quality.preferences(labels).where("part = 1").select("doc_id", "good"), "doc_id").select("good", "text").toPandas()
+    score = model.scores(pa.array(marked.text))
+    good, bad = score[marked.good], score[~marked.good]
+    assert (good[:, None] > bad).mean() > 0.9
+
+
+def test_quality_threshold(spark):
+    """The threshold is the quantile of the preferred documents that did not fit, and what is under it goes; columns of the caller stay."""
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    clash = docs.withColumn("__score", F.lit(-7.0)).withColumn("__threshold", F.lit("mine"))
+    found, score, limit = quality.kept(clash, labels, 30)
+    assert {score, limit} == {"___score", "___threshold"}
+    rows = found.collect()
+    assert {(r["__score"], r["__threshold"]) for r in rows} == {(-7.0, "mine")}
+    fit = {r.doc_id for r in quality.to_fit(labels, 30).collect()}
+    model = quality.fitted(docs, labels, 30)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scores = dict(zip(texts, (np.round(model.scores(pa.array(texts.values())) / quality.GRID) * quality.GRID).tolist(), strict=True))
+    good = {r.doc_id for r in quality.preferences(labels).where("good").collect()} & set(texts)
+    ranked = np.sort([scores[i] for i in good - fit])
+    least = ranked[int(np.floor(quality.QUANTILE * len(ranked)))]
+    assert len(fit) == 30 and all(abs(r[limit] - least) < 1e-9 for r in rows)
+    assert {r.doc_id for r in rows} == {i for i, x in scores.items() if x >= least - quality.GRID / 2}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_quality_is_bradley_terry(spark):
+    """On a small sample the fitted scores are as likely as those of plain gradient descent over all pairs of preferred and other documents."""
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    marked = docs.join(quality.preferences(labels).select("doc_id", "good"), "doc_id").select("text", "good").toPandas()
+    model = quality.fitted(docs, labels, 10_000)
+    part = docs.join(quality.to_fit(labels, 10_000).select("doc_id", "good"), "doc_id").select("text", "good").toPandas()
+    texts = pa.array(part.text)
+    data, offsets = tv.flat(texts)
+    h, doc, _, _ = quality.terms_of(*tv.flat(pa.compute.utf8_lower(texts)))
+    x = (quality.dense_of(data, offsets, h, doc) - model.mean) / model.scale
+    good = part.good.to_numpy()
+    loss = lambda s: np.logaddexp(0, s[~good] - s[good][:, None]).mean()
+    w = np.zeros(x.shape[1])
+    for _ in range(3000):
+        s = x @ w
+        miss = 1 / (1 + np.exp(np.clip(s[good][:, None] - s[~good], -30, 30)))
+        pull = np.zeros(len(s))
+        pull[good], pull[~good] = miss.sum(1), -miss.sum(0)
+        w += 0.3 * (x.T @ pull / miss.size - 3e-4 * w)
+    assert loss(model.scores(texts)) <= loss(x @ w) + 0.02 and len(marked) > len(part)
 
 
 def lcs(a: list, b: list) -> int:
@@ -234,6 +283,33 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_lines():
+    cases = {
+        "<html><head><title>t</title><body><p>Real article": ["Real article"],
+        "<html><head><title>t</title><script>var a='<p>'</script><p>Real": ["Real"],
+        "<head><title>t</title>": [],
+        "<p>before</p><svg viewBox='0 0 1 1'/><p>after": ["before", "after"],
+        "<p>before</p><svg><path d='1'/><text>x</text></svg><p>after": ["before", "after"],
+        "<p>before<svg width='1'><p>after": ["before", "after"],
+        "<p>a<script>if (b < c) {": ["a"],
+        "<noscript>x</noscript><header>h</header> a <!-- b": ["h", "a"],
+        "&amp;lt; &eacute;": ["&lt; é"],
+    }
+    assert {page: html_text.lines_of(page) for page in cases} == cases
+    assert html_text.lines_of("<p>" + LONG + "<br>" * 1000) == [LONG]
+
+
+def test_html_thin_pages(spark):
+    """Pages that are nearly all menu lose it, copies of one page in a larger host stay whole."""
+    menu = "".join(f"<li>menu line {k} of the host" for k in range(20))
+    rows = [(i, f"http://thin.com/p/{i}", f"<ul>{menu}</ul><p>own line {i}") for i in range(6)]
+    same = f"<p>{prose(30, 900)}<p>{prose(30, 901)}"
+    rows += [(10 + i, f"http://big.com/{i:02}", same if i % 4 == 1 else f"<p>{prose(30, 910 + i)}<div>the foot of all pages") for i in range(20)]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].text for i in range(6)] == [f"own line {i}" for i in range(6)] and all(got[i].n_deleted == 20 for i in range(6))
+    assert all(got[10 + i].n_deleted == (0 if i % 4 == 1 else 1) for i in range(20))
+
+
 def test_html_copies(spark):
     """A stub finds the template that is most of its text, and copies in a row find the page after them."""
     frame = lambda name, body: f"<ul><li>{name} home of the menu<li>{name} news of the menu</ul><p>{body}</p><div>{name} advertisement</div><footer>{name} terms of use</footer>"
@@ -332,6 +408,10 @@ def test_bpe(spark, awkward, empty, docs):
     back = bpe.decode(got, BYTE_BPE).collect()
     assert sorted(r.text or "" for r in back) == sorted(r[1] or "" for r in AWKWARD)
     assert bpe.encode(empty, BYTE_BPE).count() == 0
+    smile = list(own.encode("a😀"))
+    assert own.decode(smile[:-1]).startswith("a\ufffd") and own.decode([10**9]) is None
+    odd = spark.createDataFrame([(1, smile[:-1]), (2, [10**9]), (3, [None]), (4, None), (5, [])], "doc_id long, tokens array<int>")
+    assert [r.text for r in bpe.decode(odd, BYTE_BPE).orderBy("doc_id").collect()] == [own.decode(smile[:-1]), None, None, None, ""]
 
 
 def test_decontaminate(spark, awkward, empty):
@@ -502,7 +582,7 @@ def test_pipeline(spark, awkward, empty, docs):
         ids = {r.doc_id for r in after.collect()}
         before = {r.doc_id for r in now.collect()}
         if name == "quality":
-            assert ids == {r.doc_id for r in quality.kept(now, labels).collect()}
+            assert ids == {r.doc_id for r in quality.kept(now, labels)[0].collect()}
         elif name == "near_dedup":
             assert before - ids == {r.doc_id for r in simhash_dedup.duplicates(now)[0].collect()}
         elif name == "decontamination":
