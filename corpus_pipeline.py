@@ -16,7 +16,7 @@ from docloom.llm.tables import table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
-    return quality.kept(docs, table(spark, sf_dir, "labels")).select(docs.columns)
+    return quality.kept(docs, table(spark, sf_dir, "labels"))[0].select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
