@@ -205,8 +205,43 @@ def lex(text: str) -> Iterator[tuple[str, int | None, str | None, str, str | Non
     yield from map(tuple, out)
 
 
+def outline(found: list[tuple]) -> Iterator[tuple[int | None, int | None, list[int] | None]]:
+    """(position of the heading a token stands under, of a heading's parent, numbers from the top) for each token of a text.
+
+    What stands before the first heading belongs to it.
+    """
+    heads = [pos for pos, token in enumerate(found) if token[0] == "heading"]
+    own, above, top = (heads[0] if heads else None), [], 0
+    for pos, (kind, depth, *_) in enumerate(found):
+        if kind != "heading":
+            yield own, None, None
+            continue
+        while above and above[-1][0] >= depth:
+            above.pop()
+        if above:
+            above[-1][2] += 1
+            number, parent = above[-1][2], above[-1][1]
+        else:
+            top += 1
+            number, parent = top, None
+        place = [*(above[-1][3] if above else ()), number]
+        above.append([depth, pos, 0, place])
+        own = pos
+        yield own, parent, place
+
+
+_COLUMNS = ["path", "pos", "type", "depth", "text", "raw", "lang", "section", "parent", "place"]
+
+
 def lex_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Tokens of rows (path, text), for mapInPandas."""
+    """Tokens of rows (path, text), for mapInPandas; where there is a column `front`, after a row for the text itself with its title and that."""
     for frame in frames:
-        rows = [(path, pos, *token) for path, text in zip(frame["path"], frame["text"], strict=True) for pos, token in enumerate(lex(text or ""))]
-        yield pd.DataFrame(rows, columns=["path", "pos", "type", "depth", "text", "raw", "lang"]).astype({"depth": "Int32", "pos": "int32"})
+        rows = []
+        fronts = frame["front"] if "front" in frame.columns else [None] * len(frame)
+        for path, text, front in zip(frame["path"], frame["text"], fronts, strict=True):
+            found = list(lex(text or ""))
+            if "front" in frame.columns:
+                title = next((t[2] for t in found if t[0] == "heading" and t[1] == 1), None)
+                rows.append((path, -1, "top", None, title, front, None, -1, None, None))
+            rows += [(path, pos, *token, *place) for pos, (token, place) in enumerate(zip(found, outline(found), strict=True))]
+        yield pd.DataFrame(rows, columns=_COLUMNS).astype(dict.fromkeys(("depth", "section", "parent"), "Int32") | {"pos": "int32"})

@@ -1,23 +1,18 @@
 """Markdown texts to section tables and document trees.
 
-All of it is one exchange by document: the running heading count, the parents and the place in the tree are
-windows over the tokens in order, with no stack and no recursion.
+The lexer reads each text once and tells, with every token, which heading it stands under and what the place
+of a heading in the tree is. A tree is then one aggregation by (path, section), on one exchange by path.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import schema as S
 from docloom.functions import text as X
 from docloom.functions.blocks import lex_frames
 
-_BEFORE, _SO_FAR = -1, 0
-_LEVELS = range(1, 7)
-
 
 def tokens(texts: DataFrame) -> DataFrame:
     """Block tokens of (path, text) rows; the text is cleaned first."""
@@ -25,17 +20,6 @@ def tokens(texts: DataFrame) -> DataFrame:
     return cleaned.mapInPandas(lex_frames, S.TOKEN)
 
 
-def tokens_native(texts: DataFrame) -> DataFrame:
-    """Tokens of texts that hold only ATX headings and one-line paragraphs, without leaving the JVM."""
-    lines = texts.select("path", F.posexplode(F.split(X.clean_docc(F.col("text")), "\n", -1)).alias("pos", "raw")).where(F.length(X.trim(F.col("raw"))) > 0)
-    marks = F.regexp_extract("raw", "^ {0,3}(#{1,6})(?: |$)", 1)
-    depth = F.nullif(F.length(marks), F.lit(0))
-    return lines.select(
-        "path", "pos", F.when(depth.isNotNull(), "heading").otherwise("paragraph").alias("type"), depth.alias("depth"),
-        F.when(depth.isNotNull(), X.trim(F.regexp_replace("raw", "^ {0,3}#{1,6}", ""))).otherwise(F.col("raw")).alias("text"), "raw", F.lit(None).cast("string").alias("lang"),
-    )
-
-
 def block_of(token_type: Column, text: Column, raw: Column, lang: Column) -> Column:
     """The content block of a token, null for white space."""
     body = F.when(token_type.isin("code", "paragraph", "text", "blockquote"), F.coalesce(text, F.lit(""))).otherwise(X.or_default(text, F.coalesce(raw, F.lit(""))))
@@ -47,45 +31,16 @@ def block_of(token_type: Column, text: Column, raw: Column, lang: Column) -> Col
     return F.when((token_type != "space") & (token_type != "heading") & kept, block)
 
 
-def _rows_to(end: int) -> WindowSpec:
-    """A file's tokens from the first on, up to the row itself or the one before it."""
-    return Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, end)
-
-
-def _last(level: int, value: Column, end: int) -> Column:
-    return F.last(F.when(F.col("depth") == level, value), ignorenulls=True).over(_rows_to(end))
-
-
-def _nearest(below: Column, cols: list[Column]) -> Column:
-    return F.greatest(*[F.when(below > k, c) for k, c in zip(_LEVELS, cols, strict=True)])
-
-
 def sections(toks: DataFrame) -> DataFrame:
     """Headings as (path, pos, level, title, slug, parent_pos, place): place is the numbers from the top."""
-    heads = toks.where("type = 'heading'").select("path", "pos", "depth", F.col("text").alias("title"))
-    heads = heads.select("*", *[_last(k, F.col("pos"), _BEFORE).alias(f"l{k}") for k in _LEVELS])
-    parent = _nearest(F.col("depth"), [F.col(f"l{k}") for k in _LEVELS])
-    heads = heads.withColumn("parent_pos", parent)
-    heads = heads.withColumn("rank", F.row_number().over(Window.partitionBy("path", "parent_pos").orderBy("pos")))
-    # an ancestor is the last heading of its level, if none of a lower level came after it
-    at = F.struct("pos", "rank")
-    heads = heads.select("*", *[_last(k, at, _BEFORE).alias(f"a{k}") for k in _LEVELS])
-    stack = []
-    for k in _LEVELS:
-        lower = [F.coalesce(F.col(f"a{j}.pos"), F.lit(-1)) for j in range(1, k)]
-        alive = reduce(lambda x, y: x & y, [F.col(f"a{k}.pos") > c for c in lower], (F.col("depth") > k) & F.col(f"a{k}").isNotNull())
-        stack.append(F.when(alive, F.col(f"a{k}.rank")))
-    place = F.concat(F.array_compact(F.array(*stack)), F.array("rank"))
-    return heads.select("path", "pos", F.col("depth").alias("level"), "title", X.slugify(F.col("title")).alias("slug"), "parent_pos", place.alias("place"))
+    heads = toks.where("type = 'heading'")
+    return heads.select("path", "pos", F.col("depth").alias("level"), F.col("text").alias("title"), X.slugify(F.col("text")).alias("slug"), F.col("parent").alias("parent_pos"), "place")
 
 
 def section_blocks(toks: DataFrame) -> DataFrame:
     """(path, section_pos, pos, block): what stands before the first heading belongs to it; without headings nothing stays."""
-    first = F.min(F.when(F.col("type") == "heading", F.col("pos"))).over(Window.partitionBy("path"))
-    own = F.last(F.when(F.col("type") == "heading", F.col("pos")), ignorenulls=True).over(_rows_to(_SO_FAR))
     block = block_of(F.col("type"), F.col("text"), F.col("raw"), F.col("lang"))
-    found = toks.select("path", "pos", "type", F.coalesce(own, first).alias("section_pos"), block.alias("block"))
-    return found.where("section_pos is not null and block is not null").select("path", "section_pos", "pos", "block")
+    return toks.select("path", F.col("section").alias("section_pos"), "pos", block.alias("block")).where("section_pos is not null and block is not null")
 
 
 def node_type(level: Column, map_h2: bool) -> Column:
@@ -98,24 +53,24 @@ def titles(toks: DataFrame) -> DataFrame:
     return toks.groupBy("path").agg(F.min_by("text", F.when((F.col("type") == "heading") & (F.col("depth") == 1), F.col("pos"))).alias("title"))
 
 
-def document_nodes(texts: DataFrame, top_type: str = S.FILE_TOP, map_h2: bool = True, lexed: DataFrame | None = None) -> DataFrame:
+def document_nodes(texts: DataFrame, top_type: str = S.FILE_TOP, map_h2: bool = True) -> DataFrame:
     """The trees of (path, text) rows: a top node for each file, then its sections."""
-    toks = tokens(texts) if lexed is None else lexed
-    heads, content = sections(toks), section_blocks(toks)
-    blocks = content.groupBy("path", "section_pos").agg(F.array_sort(F.collect_list(F.struct("pos", "block")), lambda x, y: x["pos"] - y["pos"]).alias("b"))
-    blocks = blocks.select("path", F.col("section_pos").alias("pos"), F.transform("b", lambda b: b["block"]).alias("content"))
-    none = F.array().cast(S.NODE["content"].dataType)
-    below = heads.join(blocks, ["path", "pos"], "left").select(
-        F.col("path").alias("doc_key"), F.col("place").alias("path"), node_type(F.col("level"), map_h2).alias("type"), F.col("slug").alias("id"), "title", F.lit("").alias("description"),
-        F.coalesce("content", none).alias("content"), F.create_map(F.lit("level"), F.col("level").cast("string")).alias("metadata"),
-    )
-    front = F.map_filter(X.front_matter(F.col("text")), lambda k, v: ~k.isin("format", "path"))
-    top = texts.join(titles(toks), "path", "left").select(
-        F.col("path").alias("doc_key"), F.array().cast("array<int>").alias("path"), F.lit(top_type).alias("type"), X.id_from_path(F.col("path")).alias("id"),
-        F.coalesce("title", X.title_from_path(F.col("path"))).alias("title"), F.lit("").alias("description"), none.alias("content"),
-        F.map_concat(front, F.create_map(F.lit("format"), F.lit(S.MARKDOWN), F.lit("path"), F.col("path"))).alias("metadata"),
+    cleaned = texts.select("path", X.clean_docc(F.col("text")).alias("text"), F.regexp_extract("text", "(?s)\\A---\\n.*?\\n---", 0).alias("front"))
+    toks = cleaned.mapInPandas(lex_frames, S.TOKEN)
+    top = F.col("type") == "top"
+    head = F.when(top | (F.col("type") == "heading"), F.struct(F.col("text").alias("title"), "depth", "place", F.when(top, F.col("raw")).alias("front")))
+    block = F.when(~top, block_of(F.col("type"), F.col("text"), F.col("raw"), F.col("lang")))
+    rows = toks.where("section is not null").select("path", "section", "pos", head.alias("head"), block.alias("block")).where("head is not null or block is not null")
+    # all that follows is by path, so this is the only exchange
+    ordered = F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("pos", "block"))), lambda x, y: x["pos"] - y["pos"])
+    nodes = rows.repartition("path").groupBy("path", "section").agg(F.first("head", ignorenulls=True).alias("h"), ordered.alias("b"))
+    top, front = F.col("section") == -1, F.map_filter(X.front_matter(F.col("h.front")), lambda k, v: ~k.isin("format", "path"))
+    return nodes.select(
+        F.col("path").alias("doc_key"), F.when(top, F.array().cast("array<int>")).otherwise(F.col("h.place")).alias("path"), F.when(top, top_type).otherwise(node_type(F.col("h.depth"), map_h2)).alias("type"),
+        F.when(top, X.id_from_path(F.col("path"))).otherwise(X.slugify(F.col("h.title"))).alias("id"), F.when(top, F.coalesce("h.title", X.title_from_path(F.col("path")))).otherwise(F.col("h.title")).alias("title"),
+        F.lit("").alias("description"), F.transform("b", lambda x: x["block"]).alias("content"),
+        F.when(top, F.map_concat(front, F.create_map(F.lit("format"), F.lit(S.MARKDOWN), F.lit("path"), F.col("path")))).otherwise(F.create_map(F.lit("level"), F.col("h.depth").cast("string"))).alias("metadata"),
     )
-    return top.unionByName(below)
 
 
 def by_component(path: Column) -> Column:
@@ -123,11 +78,11 @@ def by_component(path: Column) -> Column:
     return F.split(path, "/", -1)
 
 
-def merge(texts: DataFrame, root_title: str, lexed: DataFrame | None = None) -> DataFrame:
+def merge(texts: DataFrame, root_title: str) -> DataFrame:
     """One tree of all files: a root, each file a section in path order, no categories."""
     # the rank is a global order of file paths only; its single partition holds nothing else
     order = texts.select(F.col("path").alias("doc_key"), F.row_number().over(Window.orderBy(by_component(F.col("path")))).alias("n"))
-    files = document_nodes(texts, S.SECTION, False, lexed).join(order, "doc_key")
+    files = document_nodes(texts, S.SECTION, False).join(order, "doc_key")
     files = files.select(F.lit("root").alias("doc_key"), F.concat(F.array("n"), "path").alias("path"), "type", "id", "title", "description", "content", "metadata")
     n = texts.agg(F.count("*").cast("string").alias("n"))
     root = n.select(

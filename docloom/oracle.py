@@ -94,3 +94,36 @@ ORACLE_SQL = {
     "detect_format": """select 'a/d' || doc_id || ['.yml', '.md', '.MARKDOWN', '.yaml'][doc_id % 4 + 1] as path, ['openref', 'markdown', 'markdown', 'openref'][doc_id % 4 + 1] as guess,
         doc_id % 4 in (0, 3) as openref, doc_id % 4 in (1, 2) as markdown from documents""",
 }
+
+_B = "chr(10)"
+ORACLE_SQL |= {
+    "md_blocks": f"""with k as (select c_custkey::varchar as k from customer), b as (select k, unnest([
+        {{'n': 1, 'type': 'heading', 'depth': 1, 'lang': null, 'body': 'Head ' || k}}, {{'n': 2, 'type': 'heading', 'depth': 1, 'lang': null, 'body': 'Setext ' || k}}, {{'n': 3, 'type': 'heading', 'depth': 2, 'lang': null, 'body': 'Lower ' || k}},
+        {{'n': 4, 'type': 'list', 'depth': null, 'lang': null, 'body': '- one' || {_B} || '- two ' || k}}, {{'n': 5, 'type': 'list', 'depth': null, 'lang': null, 'body': '1. first' || {_B} || '2. second'}},
+        {{'n': 6, 'type': 'table', 'depth': null, 'lang': null, 'body': '| a | b |' || {_B} || '|---|---|' || {_B} || '| ' || k || ' | 2 |'}}, {{'n': 7, 'type': 'blockquote', 'depth': null, 'lang': null, 'body': 'quote ' || k || {_B} || 'goes on'}},
+        {{'n': 8, 'type': 'html', 'depth': null, 'lang': null, 'body': '<div>' || {_B} || k || {_B} || '</div>'}}, {{'n': 9, 'type': 'def', 'depth': null, 'lang': null, 'body': '[ref' || k || ']: http://x.com/' || k}},
+        {{'n': 10, 'type': 'code', 'depth': null, 'lang': null, 'body': 'indented ' || k}}, {{'n': 11, 'type': 'hr', 'depth': null, 'lang': null, 'body': '***'}}, {{'n': 12, 'type': 'code', 'depth': null, 'lang': 'swift', 'body': 'let a = ' || k}},
+        {{'n': 13, 'type': 'paragraph', 'depth': null, 'lang': null, 'body': 'para ' || k || {_B} || 'of two lines'}}]) as t from k)
+        select 'c' || k as path, t.n::int as n, t.type as type, t.depth::int as depth, t.lang as lang, t.body as body from b""",
+    "md_merge": """with f as (select 'docs/c' || c_custkey || '.md' as path, c_custkey, c_name from customer)
+        select 'root' as doc_key, '' as place, 'root' as type, 'root' as id, 'All' as title
+        union all select 'root', (row_number() over (order by path))::varchar, 'section', 'c' || c_custkey, c_name from f""",
+    "ir_depths": f"with {_MD} select 0 as depth, count(*) as n from customer union all select case level when 1 then 1 when 2 then 2 else 3 end, count(*) from heads group by 1",
+    "universal_modular": f"""with {_MD} select 'docs/c' || o_custkey || '.md' as doc_key, 'm-order-' || o_orderkey || '-llms.txt' as filename,
+        '<SYSTEM>This is the developer documentation for c' || o_custkey || ' - Order ' || o_orderkey || '.</SYSTEM>' || {_N} || {_N} || '# c' || o_custkey || ' Order ' || o_orderkey || ' Documentation' || {_N} || {_N}
+        || '# . Order ' || o_orderkey || {_N} || {_N} || case when i = 1 then 'About Them.' || {_N} || {_N} else '' end || 'Status ' || o_orderstatus || '.' || {_N} || {_N}
+        || '## 1. ' || o_orderpriority || {_N} || {_N} || '```sql' || {_N} || 'select 1' || {_N} || '```' || {_N} || {_N} as content from numbered""",
+    "universal_files": "select 'docs/c' || c_custkey || '.md' as doc_key, count(o_orderkey) + 1 as files, 1::bigint as whole from customer left join orders on o_custkey = c_custkey group by 1",
+    "ir_first_by_id": f"""with {_OPS} select 'first' as way, op_id as id, min(pos) as pos, arg_min(title, pos) as title from ops where op_id = 'BUILDING-7' group by op_id
+        union all select 'last', op_id, max(pos), arg_max(title, pos) from ops where op_id = 'BUILDING-7' group by op_id""",
+    "openref_valid": "select 'n' || n_nationkey as path, n_nationkey % 3 > 0 as valid, n_nationkey % 3 = 0 as failed, case when n_nationkey % 3 > 0 then n_name end as title from nation",
+    "openref_nodes": """with c as (select *, row_number() over (partition by c_nationkey order by c_custkey) as i from customer)
+        select 'n' || c_nationkey as doc_key, '' as place, 'root' as type, 'n' as id, 'T' as title from c group by 1
+        union all select 'n' || c_nationkey, i::varchar, 'operation', 'c' || c_custkey, c_name from c
+        union all select 'n' || c_nationkey, i || '.1', 'item', 'e', 'on' from c where c_custkey % 2 = 0""",
+    "legacy_files": f"""select 'demo-' || category || '-llms.txt' as filename, content from ({ORACLE_SQL["legacy_modules"]})
+        union all select 'demo-full-llms.txt', content from ({ORACLE_SQL["legacy_full"]})""",
+    "config_versions": """select 's' || s_nationkey as sdk, 'v' || s_suppkey as version, (row_number() over (partition by s_nationkey order by s_suppkey) - 1)::int as version_pos, 'V ' || s_suppkey as "displayName",
+        'http://x/' || s_suppkey as url, case when s_suppkey % 2 = 0 then 'markdown' else 'openref-0.1' end as format, true as valid from supplier""",
+    "config_operations": "select 'r' || n_regionkey as category, (row_number() over (partition by n_regionkey order by n_name) - 1)::int as op_pos, n_name as op_id from nation",
+}

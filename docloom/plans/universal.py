@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import schema as S
@@ -50,8 +50,9 @@ def _document() -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "t"))), lambda x: x["t"]), "").alias("body")
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.size("path") == 0).select("doc_key", F.col("title").alias("top_title"), F.col("metadata").alias("top_metadata"))
+def _top(column: str) -> Column:
+    """The top node's value, in an aggregation or a window over its tree."""
+    return F.first(F.when(F.size("path") == 0, F.col(column)), ignorenulls=True)
 
 
 def _title(options: Options) -> Column:
@@ -69,26 +70,27 @@ def header(options: Options) -> Column:
 
 def full(nodes: DataFrame, options: Options) -> DataFrame:
     """(doc_key, filename, content) of each tree."""
-    bodies = nodes.select("doc_key", "path", node_text(F.col("path")).alias("t")).groupBy("doc_key").agg(_document())
-    name = F.lit(f"{options.prefix}-full-llms.txt")
-    return bodies.join(_tops(nodes), "doc_key").select("doc_key", name.alias("filename"), F.concat(header(options), "body").alias("content"))
+    rows = nodes.select("doc_key", "path", "title", "metadata", node_text(F.col("path")).alias("t"))
+    bodies = rows.groupBy("doc_key").agg(_document(), _top("title").alias("top_title"), _top("metadata").alias("top_metadata")).where("top_title is not null")
+    return bodies.select("doc_key", F.lit(f"{options.prefix}-full-llms.txt").alias("filename"), F.concat(header(options), "body").alias("content"))
 
 
 def modular(nodes: DataFrame, options: Options) -> DataFrame:
     """(doc_key, filename, content) of each category right under the top; of equal names the last one stays."""
-    heads = nodes.where((F.col("type") == S.CATEGORY) & (F.size("path") == 1)).select("doc_key", F.get("path", F.lit(0)).alias("n"), F.col("id").alias("cat_id"), F.col("title").alias("cat_title"), F.col("description").alias("cat_description"))
-    inside = nodes.where(F.size("path") >= 1).withColumn("n", F.get("path", F.lit(0))).join(heads.select("doc_key", "n"), ["doc_key", "n"], "left_semi")
+    n = F.coalesce(F.get("path", F.lit(0)), F.lit(0))
     numbers = F.slice("path", F.lit(2), F.size("path"))
-    bodies = inside.select("doc_key", "n", "path", node_text(numbers).alias("t")).groupBy("doc_key", "n").agg(_document())
+    head = F.when((F.col("type") == S.CATEGORY) & (F.size("path") == 1), F.struct("id", "title", "description"))
+    rows = nodes.select("doc_key", n.alias("n"), "path", "title", head.alias("head"), F.when(F.size("path") > 0, node_text(numbers)).otherwise("").alias("t"))
+    parts = rows.groupBy("doc_key", "n").agg(_document(), F.first("head", ignorenulls=True).alias("c"), _top("title").alias("own_title"))
+    parts = parts.withColumn("top_title", F.max("own_title").over(Window.partitionBy("doc_key"))).where("c is not null and top_title is not null")
     title = _title(options)
     top = F.concat(
-        F.lit("<SYSTEM>This is the developer documentation for "), title, F.lit(" - "), F.col("cat_title"), F.lit(".</SYSTEM>" + GAP),
-        F.lit("# "), title, F.lit(" "), F.col("cat_title"), F.lit(" Documentation" + GAP),
-        F.when(F.length("cat_description") > 0, F.concat("cat_description", F.lit(GAP))).otherwise(""),
+        F.lit("<SYSTEM>This is the developer documentation for "), title, F.lit(" - "), F.col("c.title"), F.lit(".</SYSTEM>" + GAP),
+        F.lit("# "), title, F.lit(" "), F.col("c.title"), F.lit(" Documentation" + GAP),
+        F.when(F.length("c.description") > 0, F.concat("c.description", F.lit(GAP))).otherwise(""),
     )
-    rows = bodies.join(heads, ["doc_key", "n"]).join(_tops(nodes), "doc_key")
-    rows = rows.select("doc_key", "n", F.concat(F.lit(f"{options.prefix}-"), "cat_id", F.lit("-llms.txt")).alias("filename"), F.concat(top, "body").alias("content"))
-    return rows.groupBy("doc_key", "filename").agg(F.max_by("content", "n").alias("content"))
+    named = parts.select("doc_key", "n", F.concat(F.lit(f"{options.prefix}-"), "c.id", F.lit("-llms.txt")).alias("filename"), F.concat(top, "body").alias("content"))
+    return named.groupBy("doc_key", "filename").agg(F.max_by("content", "n").alias("content"))
 
 
 def files(nodes: DataFrame, options: Options) -> DataFrame:

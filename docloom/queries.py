@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
@@ -45,8 +45,6 @@ def _categories(spark: SparkSession, d: str) -> DataFrame:
     """(category, cat_pos, op_pos, op_id): three overlapping categories of ids, of which some are unknown."""
     ids = _table(spark, d, "customer").select(F.concat("c_mktsegment", F.lit("-"), (F.col("c_custkey") % 120).cast("string")).alias("op_id"), (F.col("c_custkey") % 120).alias("k")).distinct()
     pos = F.struct("k", "op_id")
-    from pyspark.sql import Window
-
     some = [("even", 0, "k % 2 = 0"), ("third", 1, "k % 3 = 0"), ("low", 2, "k < 50")]
     rows = [ids.where(test).select(F.lit(name).alias("category"), F.lit(n).alias("cat_pos"), F.row_number().over(Window.orderBy(pos)).alias("op_pos"), "op_id") for name, n, test in some]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -105,6 +103,46 @@ def md_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.size("content")).alias("blocks"))
 
 
+def md_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every kind of block, in a text for each customer."""
+    k = F.col("c_custkey").cast("string")
+    parts = [
+        "# Head ", k, " #\n\nSetext ", k, "\n======\n\nLower ", k, "\n---\n\n- one\n- two ", k, "\n\n1. first\n2. second\n\n| a | b |\n|---|---|\n| ", k, " | 2 |\n\n> quote ", k, "\n> goes on\n\n<div>\n", k, "\n</div>\n\n",
+        "[ref", k, "]: http://x.com/", k, "\n\n    indented ", k, "\n\n***\n\n~~~swift\nlet a = ", k, "\n~~~\n\npara ", k, "\nof two lines",
+    ]
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    toks = markdown.tokens(_table(spark, d, "customer").select(F.concat(F.lit("c"), k).alias("path"), text.alias("text")))
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
+    return toks.where("type <> 'space'").select("path", rank.alias("n"), "type", "depth", "lang", F.btrim(F.coalesce("text", "raw"), F.lit("\n")).alias("body"))
+
+
+def md_merge(spark: SparkSession, d: str) -> DataFrame:
+    """All files under one root, each numbered by its path."""
+    nodes = markdown.merge(_body(_texts(spark, d)), "All")
+    return nodes.where(F.size("path") <= 1).select("doc_key", F.array_join(F.col("path").cast("array<string>"), ".").alias("place"), "type", "id", "title")
+
+
+def ir_depths(spark: SparkSession, d: str) -> DataFrame:
+    """A visitor that counts the nodes of each depth."""
+    return ir.visit(_nodes(spark, d), lambda n: n.groupBy("depth").agg(F.count("*").alias("n")))
+
+
+def _headless(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of files without a title, so that their orders are categories right under the top."""
+    texts = _body(_texts(spark, d)).select("path", F.regexp_replace("text", "# Customer[^\n]*\n", "").alias("text"))
+    return markdown.document_nodes(texts)
+
+
+def universal_modular(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each order, as a category of its customer's tree."""
+    return universal.modular(_headless(spark, d), universal.Options(filename_prefix="m")).select("doc_key", "filename", "content")
+
+
+def universal_files(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each tree has: the full one and those of its categories."""
+    return universal.files(_headless(spark, d), universal.Options(date="today")).groupBy("doc_key").agg(F.count("*").alias("files"), F.sum((F.col("filename") == "documentation-full-llms.txt").cast("long")).alias("whole"))
+
+
 def ir_count_nodes(spark: SparkSession, d: str) -> DataFrame:
     return ir.count_nodes(_nodes(spark, d))
 
@@ -127,6 +165,12 @@ def ir_last_by_id(spark: SparkSession, d: str) -> DataFrame:
     return ir.last_by_id(ops).select("id", "pos", "title")
 
 
+def ir_first_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Of one repeated id, the first operation and the last."""
+    ops = _operations(spark, d).select(F.col("op_id").alias("id"), "pos", F.col("op.title").alias("title"))
+    return ir.by_id(ops, "BUILDING-7", first=True).withColumn("way", F.lit("first")).unionByName(ir.by_id(ops, "BUILDING-7").withColumn("way", F.lit("last"))).select("way", "id", "pos", "title")
+
+
 def ir_by_ids(spark: SparkSession, d: str) -> DataFrame:
     """The operations that parts ask for by id, in the order of asking."""
     wanted = _table(spark, d, "part").select(F.col("p_partkey").alias("request_pos"), F.concat(F.when(F.col("p_size") > 25, "BUILDING-").otherwise("NOTHING-"), F.col("p_size").cast("string")).alias("id"))
@@ -155,13 +199,31 @@ def ir_grouped(spark: SparkSession, d: str) -> DataFrame:
     return g.select("category", F.array_join("operations", ",").alias("ids"))
 
 
-def openref_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Specifications decoded from YAML text, one for each nation, with their statistics."""
+def _specs(spark: SparkSession, d: str) -> DataFrame:
+    """Specifications decoded from YAML text, one for each nation; every second customer has an example."""
     ops = _table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("l"))
-    # every second customer has an example
     one = lambda c: F.concat(F.lit("  - id: c"), c["c_custkey"].cast("string"), F.lit("\n    title: "), c["c_name"], F.when(c["c_custkey"] % 2 == 0, "\n    examples: [{id: e, name: on, code: x}]").otherwise(""), F.lit("\n"))
     text = F.concat(F.lit("info: {id: n, title: T}\nfunctions:\n"), F.array_join(F.transform("l", one), ""))
-    return openref.stats(openref.decode(ops.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), text.alias("text"))))
+    return openref.decode(ops.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), text.alias("text")))
+
+
+def openref_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of each specification."""
+    return openref.stats(_specs(spark, d))
+
+
+def openref_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Specifications that decode and those that don't: of every third nation, the text ends in the middle of a list."""
+    n = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("info: {id: n, title: T}\nfunctions: [{id: a, title: "), F.col("n_name"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise("}]"))
+    specs = openref.decode(_table(spark, d, "nation").select(F.concat(F.lit("n"), n).alias("path"), text.alias("text")))
+    return openref.valid(specs).join(specs.select("path", F.col("error").isNotNull().alias("failed"), F.col("operations")[0]["title"].alias("title")), "path")
+
+
+def openref_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The trees of specifications: each node with its place and title."""
+    nodes = openref.document_nodes(_specs(spark, d))
+    return nodes.select("doc_key", F.array_join(F.col("path").cast("array<string>"), ".").alias("place"), "type", "id", "title")
 
 
 def openref_language(spark: SparkSession, d: str) -> DataFrame:
@@ -198,6 +260,13 @@ def legacy_modules(spark: SparkSession, d: str) -> DataFrame:
     return legacy.modules(met, heads, F.lit("Demo"))
 
 
+def legacy_files(spark: SparkSession, d: str) -> DataFrame:
+    """All files of the specification renderer by name."""
+    met, heads = _legacy(spark, d)
+    lit: list[Column] = [F.lit(x) for x in ("Demo", "demo", "v1", "p", "today")]
+    return legacy.files(met, heads, "demo", legacy.full_header(*lit), F.lit("Demo"))
+
+
 def legacy_full(spark: SparkSession, d: str) -> DataFrame:
     """The full text of all categories, in their order."""
     met, heads = _legacy(spark, d)
@@ -235,6 +304,22 @@ def config_latest(spark: SparkSession, d: str) -> DataFrame:
     return config.latest(s)
 
 
+def config_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The versions of SDKs in a JSON text for each nation: its suppliers, with defaults filled in."""
+    s = _table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("l"))
+    one = lambda k: F.concat(F.lit('"v'), k.cast("string"), F.lit('": {"displayName": "V '), k.cast("string"), F.lit('", "spec": {"url": "http://x/'), k.cast("string"), F.lit('"'), F.when(k % 2 == 0, ', "format": "markdown"').otherwise(""), F.lit('}, "output": {"baseDir": "o", "filenamePrefix": "p"}}'))
+    text = F.concat(F.lit('{"sdks": {"s'), F.col("s_nationkey").cast("string"), F.lit('": {"name": "N", "language": "L", "versions": {'), F.array_join(F.transform("l", one), ", "), F.lit("}}}}"))
+    found = config.sdks_of(s.select(text.alias("text")))
+    return found.select("sdk", "version", "version_pos", "displayName", F.col("spec.url").alias("url"), F.col("spec.format").alias("format"), config.sdk_problem().isNull().alias("valid"))
+
+
+def config_operations(spark: SparkSession, d: str) -> DataFrame:
+    """What the categories of a JSON text for each region list, in order."""
+    n = _table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("l"))
+    text = F.concat(F.lit('{"categories": {"r'), F.col("n_regionkey").cast("string"), F.lit('": {"title": "t", "description": "", "systemPrompt": "p", "order": 1, "operations": ["'), F.array_join("l", '", "'), F.lit('"]}}}'))
+    return config.listed_operations(config.categories_of(n.select(text.alias("text")))).select("category", "op_pos", "op_id")
+
+
 def config_categories(spark: SparkSession, d: str) -> DataFrame:
     """Categories of a JSON text for each region, checked."""
     n = _table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
@@ -251,7 +336,7 @@ def detect_format(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    md_clean, md_slug, md_front_matter, md_sections, md_titles, md_nodes, ir_count_nodes, ir_find_by_type, universal_full, ir_last_by_id, ir_by_ids, ir_has, ir_total_examples, ir_spotlight, ir_grouped,
-    openref_stats, openref_language, openref_multi, first_match, uncategorized, legacy_modules, legacy_full, text_trim, text_fences, text_paths, text_dates, config_latest, config_categories, detect_format,
+    md_clean, md_slug, md_front_matter, md_sections, md_titles, md_nodes, md_blocks, md_merge, ir_count_nodes, ir_depths, ir_find_by_type, universal_full, universal_modular, universal_files, ir_last_by_id, ir_first_by_id, ir_by_ids, ir_has, ir_total_examples, ir_spotlight, ir_grouped,
+    openref_stats, openref_valid, openref_nodes, openref_language, openref_multi, first_match, uncategorized, legacy_modules, legacy_full, legacy_files, text_trim, text_fences, text_paths, text_dates, config_latest, config_versions, config_operations, config_categories, detect_format,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -38,4 +38,4 @@ SDKS = _struct(sdks=T.MapType(_S, SDK))
 CATEGORY_CONFIG = _struct(title=_S, description=_S, systemPrompt=_S, operations=T.ArrayType(_S), order=T.DoubleType())
 CATEGORIES = _struct(categories=T.MapType(_S, CATEGORY_CONFIG))
 REPORT = _struct(path=_S, valid=T.BooleanType(), severity=_S, message=_S, file=_S, line=_I, column=_I)
-TOKEN = _struct(path=_S, pos=_I, type=_S, depth=_I, text=_S, raw=_S, lang=_S)
+TOKEN = _struct(path=_S, pos=_I, type=_S, depth=_I, text=_S, raw=_S, lang=_S, section=_I, parent=_I, place=T.ArrayType(_I))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom import schema as S
 from docloom.functions import text as X
-from docloom.functions import yaml12
+from docloom.functions import blocks, yaml12
 from docloom.operators import markdown, openref
 from docloom.sources import files
 
@@ -61,6 +61,10 @@ class Format:
     parse: Callable[[SparkSession, str], DataFrame]
 
 
+def looks_like_markdown(path: str) -> bool:
+    return os.path.splitext(path)[1].lower() in (".md", ".markdown")
+
+
 def _openref_accepts(path: str) -> bool:
     if os.path.splitext(path)[1].lower() not in (".yml", ".yaml") or not os.path.exists(path):
         return False
@@ -71,7 +75,7 @@ def _openref_accepts(path: str) -> bool:
 def _markdown_accepts(path: str) -> bool:
     if os.path.isdir(path):
         return any(n.endswith(".md") for n in os.listdir(path))
-    return os.path.splitext(path)[1].lower() in (".md", ".markdown") and os.path.exists(path)
+    return looks_like_markdown(path) and os.path.exists(path)
 
 
 def parse_openref(spark: SparkSession, path: str, categories: DataFrame | None = None) -> DataFrame:
@@ -146,6 +150,11 @@ def _checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 if not os.path.exists(path):
                     message = f"file not found: {path}"
+                elif os.path.isdir(path):
+                    message = None if files.markdown_files(path) else f"no Markdown files in {path}"
+                elif looks_like_markdown(path):
+                    with open(path, encoding="utf-8", errors="replace") as f:
+                        list(blocks.lex(f.read()))
                 elif os.path.splitext(path)[1].lower() in (".yml", ".yaml"):
                     with open(path, encoding="utf-8") as f:
                         yaml12.spec(f.read())
