@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import cut, filter_of, free_name, ids_and_texts, in_filter, maybe_broadcast, small_batches, whole_id
+from docloom.llm.shared import cut, filter_of, free_name, ids_and_texts, in_filter, maybe_broadcast, scratch, small_batches, whole_id
 
 MASKS = ("11111", "110111", "1101011", "11001101", "101001101")
 LEAST, SHORTEST, MIN_WORDS, MIN_SHARE = 5, 8, 12, 0.8
@@ -230,5 +230,6 @@ def overlaps_with(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """The documents that overlap no test item, all columns as they were."""
     key, copy = free_name(docs, "__gone"), free_name(docs, "__copy")
-    gone, _ = cut(_overlaps(docs, benchmark, broadcast_seeds).select(F.col("doc_id").alias(key), F.col("copy").alias(copy)).distinct(), "contaminated")
+    with scratch(docs.sparkSession):
+        gone, _ = cut(_overlaps(docs, benchmark, broadcast_seeds).select(F.col("doc_id").alias(key), F.col("copy").alias(copy)).distinct(), "contaminated", keep=True)
     return docs.join(maybe_broadcast(gone, gone.count()), (whole_id(docs, "doc_id") == gone[key]) & (F.xxhash64(docs["text"].cast("string")) == gone[copy]), "left_anti")

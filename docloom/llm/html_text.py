@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
 from docloom.llm.components import components
-from docloom.llm.shared import cut, maybe_broadcast, small_batches, whole_id
+from docloom.llm.shared import cut, maybe_broadcast, scratch, small_batches, whole_id
 from docloom.llm.urls import host_of, path_of
 
 #: Share of a page's text, and of its body, from which on what it has in common with another makes it a copy.
@@ -248,7 +248,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     uid = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "url", "html")))
     rows = rows.withColumn("uid", uid)
-    found, _ = cut(shared_lines(rows), "shared-lines")
+    with scratch(pages.sparkSession):
+        found, _ = cut(shared_lines(rows), "shared-lines", keep=True)
 
     @F.pandas_udf("n_lines int, n_deleted int, text string")
     def kept(page: pd.Series, gone: pd.Series) -> pd.DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
 from docloom.llm.components import components
-from docloom.llm.shared import cut, filter_of, forest, free_name, ids_and_texts, in_filter, maybe_broadcast, small_batches, sorted_runs, whole_id
+from docloom.llm.shared import cut, filter_of, forest, free_name, ids_and_texts, in_filter, maybe_broadcast, scratch, small_batches, sorted_runs, whole_id
 
 GRAM, LONG_GRAM = 4, 8
 LONG, NEAR = 96, 138
@@ -323,22 +323,23 @@ def _groups(edges: DataFrame) -> tuple[DataFrame, int]:
 def _duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, copy, line_no, kept_doc_id, kept_line_no) of each line that an earlier one replaces; copy is a hash of the document's text."""
     small_batches(docs.sparkSession)
-    rows = ids_and_texts(docs).where("doc_id is not null and text is not null").withColumn("copy", F.xxhash64("text"))
-    lines, _ = cut(rows.mapInArrow(_line_rows, "doc_id long, copy long, line_no int, h1 long, h2 long"), "lines")
-    banded = rows.select("text").mapInArrow(_band_rows, "key long, line long")
-    crowded, _ = cut(banded.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_crowded_rows, "line long, key long").distinct(), "crowded")
-    ids = crowded.select("line").distinct()
-    bodies = rows.select("text").mapInArrow(_text_rows(filter_of(ids, ids.count())), "h1 long, h2 long, body string").groupBy("h1", "h2").agg(F.first("body").alias("body"))
-    edges, _ = cut(_met(crowded, bodies, hot).mapInArrow(_edge_rows, "a1 long, a2 long, b1 long, b2 long"), "line-edges")
-    groups, n = _groups(edges)
-    labelled = lines.join(maybe_broadcast(groups, n, 24), ["h1", "h2"], "left")
-    own = F.col("group").isNull()
-    labelled = labelled.select("doc_id", "copy", "line_no", own.alias("g0"), F.coalesce("group", "h1").alias("g1"), F.when(own, F.col("h2")).otherwise(0).alias("g2"))
-    place = F.struct("doc_id", "line_no", "copy")
-    first = labelled.groupBy("g0", "g1", "g2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = labelled.join(first, ["g0", "g1", "g2"]).where(place != F.col("first"))
-    out, _ = cut(found.select("doc_id", "copy", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no")).distinct(), "line-duplicates")
-    return out
+    with scratch(docs.sparkSession):
+        rows = ids_and_texts(docs).where("doc_id is not null and text is not null").withColumn("copy", F.xxhash64("text"))
+        lines, _ = cut(rows.mapInArrow(_line_rows, "doc_id long, copy long, line_no int, h1 long, h2 long"), "lines")
+        banded = rows.select("text").mapInArrow(_band_rows, "key long, line long")
+        crowded, _ = cut(banded.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_crowded_rows, "line long, key long").distinct(), "crowded")
+        ids = crowded.select("line").distinct()
+        bodies = rows.select("text").mapInArrow(_text_rows(filter_of(ids, ids.count())), "h1 long, h2 long, body string").groupBy("h1", "h2").agg(F.first("body").alias("body"))
+        edges, _ = cut(_met(crowded, bodies, hot).mapInArrow(_edge_rows, "a1 long, a2 long, b1 long, b2 long"), "line-edges")
+        groups, n = _groups(edges)
+        labelled = lines.join(maybe_broadcast(groups, n, 24), ["h1", "h2"], "left")
+        own = F.col("group").isNull()
+        labelled = labelled.select("doc_id", "copy", "line_no", own.alias("g0"), F.coalesce("group", "h1").alias("g1"), F.when(own, F.col("h2")).otherwise(0).alias("g2"))
+        place = F.struct("doc_id", "line_no", "copy")
+        first = labelled.groupBy("g0", "g1", "g2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        found = labelled.join(first, ["g0", "g1", "g2"]).where(place != F.col("first"))
+        out, _ = cut(found.select("doc_id", "copy", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no")).distinct(), "line-duplicates", keep=True)
+        return out
 
 
 def duplicate_lines(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, int]:

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,34 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write to the shared folder and read again: the lineage ends there, and a lost executor costs nothing."""
+_scopes: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
+    """Write to the shared folder and read again: the lineage ends there, and a lost executor costs nothing.
+
+    Within `scratch` the table goes at the end of the block, or with `keep` at the end of the block around it.
+    """
     spark = df.sparkSession
     path = path_in_shared(spark, name)
+    depth = len(_scopes) - 1 - keep
+    if depth >= 0:
+        _scopes[depth].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose tables are deleted when it ends; what it hands on must be written with `keep`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
     """Broadcast a side of known rows, and of `width` bytes of values in the mean row, if it is small; else leave the join to shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * width <= BROADCAST_BYTES else df

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import cut, free_name, maybe_broadcast, whole_id
+from docloom.llm.shared import cut, free_name, maybe_broadcast, scratch, whole_id
 
 #: Names of query parameters that do not choose a page.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
@@ -143,13 +143,15 @@ def hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """Every page as (page_id, url, canonical_url, entry): the entry that lists it, null for a page that may stay."""
     rows = pages.select(whole_id(pages, "page_id").alias("page_id"), F.col("url").cast("string").alias("url"))
-    found, _ = cut(hits(rows, listed), "url-hits")
+    with scratch(pages.sparkSession):
+        found, _ = cut(hits(rows, listed), "url-hits", keep=True)
     return with_parts(rows).join(maybe_broadcast(found, found.count(), 160), "url", "left").select("page_id", "url", canonical().alias("canonical_url"), "entry")
 
 
 def allowed(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """The pages that no entry hits, all columns as they were."""
-    found, _ = cut(hits(pages.select(F.col("url").cast("string").alias("url")), listed), "url-hits")
+    with scratch(pages.sparkSession):
+        found, _ = cut(hits(pages.select(F.col("url").cast("string").alias("url")), listed), "url-hits", keep=True)
     key = free_name(pages, "__gone")
     gone = found.select(F.col("url").alias(key))
     return pages.join(maybe_broadcast(gone, found.count(), 80), pages["url"].cast("string") == gone[key], "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import corpus_pipeline
 from docloom.llm import bpe, decontaminate, html_text, jpeg_writer, language_model, line_dedup, media, quality, simhash_dedup, token_counts, urls
 from docloom.llm import textvec as tv
 from docloom.llm.queries import BYTE_BPE
+from docloom.llm.shared import shared_dir
 from docloom.llm.tables import table
 
 DATA = "/root/testdata/sf0.001"
@@ -573,26 +575,68 @@ def test_edited_lines(spark):
     assert sum(x.line_no % 2 == 0 for x in found) >= 36 and sum(x.line_no % 2 for x in found) >= 36
 
 
-def test_pipeline(spark, awkward, empty, docs):
-    """The stages one by one, each against what its operator says about its own input."""
-    labels, bench = table(spark, DATA, "labels"), table(spark, DATA, "benchmark")
-    now = docs
-    for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, now, DATA).cache()
-        ids = {r.doc_id for r in after.collect()}
-        before = {r.doc_id for r in now.collect()}
-        if name == "quality":
-            assert ids == {r.doc_id for r in quality.kept(now, labels)[0].collect()}
-        elif name == "near_dedup":
-            assert before - ids == {r.doc_id for r in simhash_dedup.duplicates(now)[0].collect()}
-        elif name == "decontamination":
-            assert before - ids == {r.doc_id for r in decontaminate.overlaps_with(now, bench).collect()}
-        if name != "byte_bpe":
-            assert after.columns == docs.columns and ids <= before
-            now = after
-        else:
-            enc = token_counts.encoding(BYTE_BPE)
-            assert {r.doc_id: list(r.tokens) for r in after.collect()} == {r.doc_id: enc.encode_ordinary(r.text) for r in now.collect()}
-    for _, stage in corpus_pipeline.STAGES:
+def joined(n: int, pairs) -> list[int]:
+    """The least member of each one's component."""
+    group = list(range(n))
+    for i, j in pairs:
+        a, b = sorted((group[i], group[j]))
+        group = [a if g == b else g for g in group]
+    return group
+
+
+def test_pipeline_by_brute_force(spark, docs):
+    """What `run` gives is what the stages give text by text: all scores, all pairs of lines, of fingerprints, and of documents and items."""
+    labels = table(spark, DATA, "labels")
+    texts = dict(sorted((r.doc_id, r.text) for r in docs.collect()))
+    model = quality.fitted(docs, labels)
+    score = {i: np.round(model.scores(pa.array([t]))[0] / quality.GRID) * quality.GRID for i, t in texts.items()}
+    fit = {r.doc_id for r in quality.to_fit(labels).collect()}
+    ranked = np.sort([score[r.doc_id] for r in quality.preferences(labels).where("good").collect() if r.doc_id in texts and r.doc_id not in fit])
+    least = ranked[int(np.floor(quality.QUANTILE * len(ranked)))]
+    texts = {i: t for i, t in texts.items() if score[i] >= least - quality.GRID / 2}
+    # lines
+    Row = type("Row", (), {"__init__": lambda self, i, t: self.__dict__.update(doc_id=i, text=t)})
+    first, pairs = brute_lines([Row(i, t) for i, t in texts.items()])
+    order = {x: n for n, x in enumerate(sorted(first, key=first.get))}
+    group = joined(len(order), [(order[x], order[y]) for x, y in pairs])
+    met, left = set(), {}
+    for i, t in texts.items():
+        out, lost = [], False
+        for x in t.split("\n"):
+            key = x.lower().strip().encode()
+            if key and group[order[key]] in met:
+                lost = True
+                continue
+            if key:
+                met.add(group[order[key]])
+            out.append(x)
+        if not lost or "\n".join(out).strip():
+            left[i] = "\n".join(out)
+    # documents
+    ids = list(left)
+    f, known = simhash_dedup.fingerprints(pa.array([left[i] for i in ids]))
+    group = joined(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if known[a] and known[b] and simhash_dedup.distance(f[a], f[b]) <= simhash_dedup.MAX_BITS])
+    left = {i: left[i] for n, i in enumerate(ids) if group[n] == n}
+    split = [(i, np.array(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()) or [""])) for i, t in left.items()]
+    gone = {d for d, _, _ in brute_overlaps(split, [(r.item_id, r.text) for r in table(spark, DATA, "benchmark").collect()])}
+    enc = token_counts.encoding(BYTE_BPE)
+    want = {i: enc.encode_ordinary(t) for i, t in left.items() if i not in gone}
+    got = {r.doc_id: list(r.tokens) for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got == want and gone and 0 < len(want) < docs.count()
+
+
+def test_pipeline_awkward(spark, awkward, empty):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, DATA).count() == 0
+        assert stage(spark, awkward, DATA).columns == awkward.columns
         stage(spark, awkward, DATA).count()
+    assert corpus_pipeline.STAGES[-1][1](spark, awkward, DATA).count() == len(AWKWARD)
+
+
+def test_nothing_is_left_behind(spark, docs):
+    """Tables between the steps of an operator are deleted when it is done."""
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    for made in (lambda: line_dedup.dedup_lines(docs), lambda: simhash_dedup.near_dedup(docs), lambda: decontaminate.decontaminate(docs, table(spark, DATA, "benchmark"), 0), lambda: html_text.main_text(table(spark, DATA, "pages"))):
+        before = set(folder.iterdir())
+        df = made()
+        assert len(set(folder.iterdir()) - before) <= 2 and df.count() > 0
