@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
-from docloom.llm.shared import free_name, ids_and_texts, small_batches, whole_id
+from docloom.llm.shared import cut, filter_of, free_name, ids_and_texts, in_filter, maybe_broadcast, scratch, small_batches, whole_id
 
 FIT_DOCS = 6000
 VOCABULARY = 16384
@@ -227,11 +227,28 @@ def score_of(text: Column, model: Model, session: SparkSession) -> Column:
     return F.round(call(text.cast("string")) / GRID) * GRID
 
 
+def _scored_rows(bits, shared):
+    """(doc_id, score) of the rows whose ids the filter lets pass: only they are scored, and no text is moved."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(in_filter(bits.value, batch.column("h").to_numpy())))
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(shared.value.scores(some.column("text")))], ["doc_id", "score"])
+
+    return rows
+
+
 def threshold(docs: DataFrame, labels: DataFrame, model: Model, quantile: float = QUANTILE, fit_docs: int = FIT_DOCS) -> float | None:
     """The score under which a document is rejected: counted over every preferred document that didn't fit the model; only those are scored."""
-    good = preferences(labels).where("good").join(to_fit(labels, fit_docs).select("doc_id"), "doc_id", "left_anti").select("doc_id")
-    some = ids_and_texts(docs).where("text is not null").join(good, "doc_id", "left_semi")
-    hist = some.select(score_of(F.col("text"), model, docs.sparkSession).alias("score")).groupBy("score").count().toArrow()
+    spark = docs.sparkSession
+    with scratch(spark):
+        good, _ = cut(preferences(labels).where("good").join(to_fit(labels, fit_docs).select("doc_id"), "doc_id", "left_anti").select("doc_id"), "preferred")
+        n = good.count()
+        bits = spark.sparkContext.broadcast(filter_of(good.select(F.xxhash64("doc_id").alias("h")), n))
+        texts = ids_and_texts(docs).where("doc_id is not null and text is not null").withColumn("h", F.xxhash64("doc_id"))
+        some = texts.mapInArrow(_scored_rows(bits, spark.sparkContext.broadcast(model)), "doc_id long, score double").join(maybe_broadcast(good, n), "doc_id", "left_semi")
+        hist = some.groupBy((F.round(F.col("score") / GRID) * GRID).alias("score")).count().toArrow()
     if not hist.num_rows:
         return None
     s, n = hist["score"].to_numpy(), hist["count"].to_numpy()
