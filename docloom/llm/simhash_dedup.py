@@ -1,13 +1,14 @@
-"""Near-duplicate documents by SimHash with deletion-variant signatures.
+"""Near-duplicate documents by SimHash, with every pair within MAX_BITS.
 
 The fingerprint has 240 bits over the distinct words of a document; words under LEAST_BYTES bytes, which most
 texts of a language share, count only where there are few others, so that unrelated texts differ in nearly
-half of the bits. It is cut into 12 segments of 20 bits, and each segment is indexed once for every bit of it
-replaced by a wildcard: two segments that differ by one bit at most share a variant, so one equality join
-finds them. Any two fingerprints within SURE_BITS have such a segment, hence all those pairs are found. From
-there to MAX_BITS, where a changed word in twenty puts a copy, a pair is missed only if all twelve segments
-differ by two bits or more: of pairs with uniformly spread differences 0.4 % at 25 bits, 2 % at 29, 8 % at 35
-and 19 % at 40.
+half of the bits. It is cut into 4 words of 60 bits and these into 12 segments of 20.
+
+By the pigeonhole principle two fingerprints within MAX_BITS have a word that differs by WORD_LIMITS bits at
+most, and in it a segment that differs by LIMITS bits at most, so that one of the segment's parts, of which
+there is one more than its limit, is equal. Rows meet by that part (a block), 41 times each. Within a block the
+rows that may be near differ in the rest of the segment by one of a few masks: values of the segment are looked
+up under each of them, or, where there are few rows, all of them are compared.
 Found pairs are verified on the whole fingerprint, and copies are grouped transitively.
 
 Defined results: a null or wordless text has no fingerprint and is in no group. Rows of one doc_id and one
@@ -18,7 +19,9 @@ one that stays, of several with that id the one of the least fingerprint.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +36,22 @@ from docloom.llm.shared import cut, forest, free_name, ids_and_texts, maybe_broa
 WORDS, PER_WORD, SEGMENT_BITS = 4, 3, 20
 SEGMENTS = WORDS * PER_WORD
 BITS = SEGMENTS * SEGMENT_BITS
-#: By the pigeonhole principle: with more, all segments could differ by two bits.
+#: Pairs within these share a variant, a segment with one bit left out: with more, all segments could differ by two bits.
 SURE_BITS = 2 * SEGMENTS - 1
 #: Verified distance. Unrelated texts differ in about 115 bits.
 MAX_BITS = 40
+#: Bits by which a segment and its word may differ: with more in all of them, the whole would differ by more than MAX_BITS.
+LIMITS = (2, 2, 3, 2, 2, 3, 2, 2, 3, 2, 3, 3)
+WORD_LIMITS = (9, 9, 9, 10)
 LEAST_BYTES, LEAST_WORDS = 4, 8
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _USED = np.uint64((1 << PER_WORD * SEGMENT_BITS) - 1)
 #: A segment's bits in three parts: variants with a wildcard in one of them agree in the two others.
 _PARTS = ((0, 7), (7, 14), (14, 20))
+#: (segment, first bit, end) of each block's part: two rows meet in it if they agree there.
+BLOCKS = tuple((s, lo, hi) for s, most in enumerate(LIMITS) for lo, hi in (_PARTS if most == 2 else ((0, 5), (5, 10), (10, 15), (15, 20))))
+#: Pairs whose words are compared at a time, so that they stay in a core's cache; of those left, pairs after which joined rows are looked for; of two values of a segment, pairs of rows from which on joined rows are passed over.
+PAIRS, FEW, HEAVY = 1 << 16, 1 << 12, 1 << 12
 _COLS = tuple(f"f{k}" for k in range(WORDS))
 _F = ", ".join(f"{c} long" for c in _COLS)
 
@@ -132,12 +142,39 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield table.filter(pa.array(known))
 
 
+def blocks(f: np.ndarray) -> np.ndarray:
+    """n x 41 places: block and the bits of its part."""
+    seg = _segments(f)
+    return np.stack([((seg[:, s] >> np.uint32(lo)) & np.uint32((1 << (hi - lo)) - 1)) | np.uint32(k << 7) for k, (s, lo, hi) in enumerate(BLOCKS)], 1).astype(np.int32)
+
+
+def _before(block: int) -> list[tuple[int, int, int]]:
+    return [b for b in BLOCKS[:block] if b[0] == BLOCKS[block][0]]
+
+
+@functools.cache
+def masks(block: int) -> np.ndarray:
+    """The differences of a segment without the block's part: as many bits as its limit at most, some in each earlier part, so that of a segment's blocks one finds a pair."""
+    s, lo, hi = BLOCKS[block]
+    earlier = [(1 << y) - (1 << x) for _, x, y in _before(block)]
+    bits = [1 << i for i in range(SEGMENT_BITS - (hi - lo))]
+    found = (sum(c) for n in range(LIMITS[s] + 1) for c in combinations(bits, n))
+    return np.array([m for m in found if all(m & e for e in earlier)], np.int32)
+
+
+def first_segment(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first segment in which each pair within MAX_BITS meets."""
+    x = a ^ b
+    word = np.bitwise_count(x) <= np.array(WORD_LIMITS)
+    return ((np.bitwise_count(_segments(x)) <= np.array(LIMITS)) & np.repeat(word, PER_WORD, 1)).argmax(1)
+
+
 def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             f = np.stack([part.column(c).to_numpy() for c in _COLS], 1)
-            keys = places(f.view(np.uint64))
+            keys = blocks(f.view(np.uint64))
             n = keys.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.ravel()), pa.array(np.repeat(part.column("id").to_numpy(), n)), *(pa.array(np.repeat(f[:, k], n)) for k in range(WORDS))],
@@ -145,49 +182,128 @@ def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def bucket_edges(ids: np.ndarray, f: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[list, list]:
-    """Edges between the members of each run of one key that are within MAX_BITS of each other."""
-    a_out, b_out = [], []
-    size = np.diff(starts)
-    for k in np.flatnonzero(size > 24):
-        lo, hi = starts[k], starts[k + 1]
-        g = f[lo:hi]
-        tree = forest(hi - lo, lambda some, others, g=g: distance(g[some][:, None], g[others][None]) <= MAX_BITS)
-        if tree:
-            p, c = np.array(tree).T + lo
-            _keep(p, c, ids, f, keys, a_out, b_out)
-    small = np.repeat((size > 1) & (size <= 24), size)
-    rows = np.flatnonzero(small)
-    if len(rows):
-        end = np.repeat(starts[1:], size)
-        for step in range(1, 24):
-            p = rows[rows + step < end[rows]]
-            if not len(p):
-                break
-            c = p + step
-            hit = distance(f[p], f[c]) <= MAX_BITS
-            _keep(p[hit], c[hit], ids, f, keys, a_out, b_out)
-    return a_out, b_out
-
-
-def _keep(p, c, ids, f, keys, a_out, b_out) -> None:
-    if len(p):
-        own = first_key(f[p], f[c]) == (keys[p] >> 20).astype(np.int64)
-        a_out.append(ids[p[own]])
-        b_out.append(ids[c[own]])
+def _joined(label: np.ndarray, p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the labels with those of each pair made one, which pairs it takes for that)."""
+    tree, live = [np.zeros(0, np.int64)], np.arange(len(p))
+    while True:
+        a, b = label[p[live]], label[c[live]]
+        apart = a != b
+        live, high, low = live[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        if not len(live):
+            return label, np.concatenate(tree)
+        order = np.lexsort((low, high))
+        own = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
+        tree.append(live[own])
+        to = np.arange(len(label))
+        to[high[own]] = low[own]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _all_pairs(word: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    n, i = len(word), 0
+    while i < n - 1:
+        j = min(n - 1, i + max(1, PAIRS // (n - i)))
+        p, c = np.nonzero(np.bitwise_count(word[i:j, None] ^ word[None, i + 1 :]) <= most)
+        yield p[c >= p] + i, c[c >= p] + i + 1
+        i = j
+
+
+def _masked_pairs(size: np.ndarray, at: np.ndarray, value: np.ndarray, bits: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of rows, which are sorted by value, whose values differ by one of the masks; or, with True, pairs of values that too many rows have."""
+    slot = np.full(1 << bits, -1, np.int32)
+    slot[value] = np.arange(len(value), dtype=np.int32)
+    step = max(1, PAIRS // len(own))
+    for i in range(0, len(value), step):
+        to = slot[value[i : i + step, None] ^ own]
+        hit = np.flatnonzero(to >= np.arange(i, min(i + step, len(value)), dtype=np.int32)[:, None])
+        x, y = hit // len(own) + i, to.ravel()[hit]
+        number = size[x] * size[y]
+        heavy = number > HEAVY
+        if heavy.any():
+            yield x[heavy], y[heavy], True
+            x, y, number = x[~heavy], y[~heavy], number[~heavy]
+        for k, m in tv.pieces(tv.spans(number), PAIRS):
+            u, v = x[k:m], y[k:m]
+            p = np.repeat(at[u], size[u]) + _counted(size[u])
+            wide = np.repeat(size[v], size[u])
+            c = np.repeat(np.repeat(at[v], size[u]), wide) + _counted(wide)
+            p = np.repeat(p, wide)
+            if (u == v).any():
+                p, c = p[p < c], c[p < c]
+            yield p, c, False
+
+
+def _counted(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of these sizes."""
+    at = tv.spans(size)
+    return np.arange(at[-1]) - np.repeat(at[:-1], size)
+
+
+def block_edges(block: int, ids: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between rows of one place that meet in no earlier block; with those of earlier blocks they join all that are within MAX_BITS of each other here.
+
+    Rows that are joined already are not compared again.
+    """
+    s, lo, hi = BLOCKS[block]
+    seg = (f[:, s // PER_WORD] >> np.uint64(s % PER_WORD * SEGMENT_BITS)) & np.uint64((1 << SEGMENT_BITS) - 1)
+    rest = (((seg >> np.uint64(hi)) << np.uint64(lo)) | (seg & np.uint64((1 << lo) - 1))).astype(np.int32)
+    order = np.argsort(rest, kind="stable")
+    ids, f, seg, rest = ids[order], f[order], seg[order], rest[order]
+    word, most = np.ascontiguousarray(f[:, s // PER_WORD]), WORD_LIMITS[s // PER_WORD]
+    label = np.arange(len(f))
+    earlier = np.array([(1 << y) - (1 << x) for _, x, y in _before(block)], np.uint64)
+    out = [np.zeros((2, 0), np.int64)]
+
+    def near(p: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(seg[p] ^ seg[c]) <= LIMITS[s]) & (np.bitwise_count(word[p] ^ word[c]) <= most) & (distance(f[p], f[c]) <= MAX_BITS)
+
+    def found(p: np.ndarray, c: np.ndarray) -> None:
+        nonlocal label
+        if len(p):
+            label, tree = _joined(label, p, c)
+            p, c = p[tree], c[tree]
+            own = (first_segment(f[p], f[c]) == s) & ((seg[p] ^ seg[c])[:, None] & earlier).all(1)
+            out.append(ids[np.stack((p[own], c[own]))])
+
+    def judge(p: np.ndarray, c: np.ndarray) -> None:
+        ok = np.flatnonzero(np.bitwise_count(word[p] ^ word[c]) <= most)
+        for i in range(0, len(ok), FEW):
+            x, y = p[ok[i : i + FEW]], c[ok[i : i + FEW]]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            hit = near(x, y)
+            found(x[hit], y[hit])
+
+    own = masks(block)
+    if len(f) < 4 * len(own):
+        for p, c in _all_pairs(word, most):
+            judge(p, c)
+    else:
+        at = np.flatnonzero(np.concatenate(([True], rest[1:] != rest[:-1])))
+        size = np.diff(np.append(at, len(rest)))
+        for p, c, heavy in _masked_pairs(size, at, rest[at], SEGMENT_BITS - (hi - lo), own):
+            if not heavy:
+                judge(p, c)
+                continue
+            for x, y in zip(p.tolist(), c.tolist(), strict=True):
+                rows = np.concatenate([np.arange(at[v], at[v] + size[v]) for v in {x, y}])
+                if (label[rows] != label[rows[0]]).any():
+                    tree = forest(len(rows), lambda some, others, rows=rows: near(rows[some][:, None], rows[others][None]))
+                    found(*rows[np.array(tree, np.int64).reshape(-1, 2)].T)
+    return tuple(np.concatenate(out, 1))
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges among rows sorted by place; all rows of a variant's key have one place, so its bucket is whole here."""
-    for table, _ in sorted_runs(batches, "place"):
+    """Edges among rows sorted by place."""
+    for table, starts in sorted_runs(batches, "place"):
         f, ids = np.stack([table.column(c).to_numpy() for c in _COLS], 1).view(np.uint64), table.column("id").to_numpy()
-        owner, keys = variants(table.column("place").to_numpy(), f)
-        order = np.lexsort((ids[owner], keys))
-        owner, keys = owner[order], keys[order]
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        a, b = bucket_edges(ids[owner], f[owner], keys, starts)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        block = table.column("place").to_numpy()[starts[:-1]] >> 7
+        for k in np.flatnonzero(np.diff(starts) > 1):
+            a, b = block_edges(int(block[k]), ids[starts[k] : starts[k + 1]], f[starts[k] : starts[k + 1]])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _spare(docs: DataFrame) -> DataFrame:

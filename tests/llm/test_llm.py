@@ -92,6 +92,45 @@ def test_simhash_pairs_within_the_guarantee():
         assert len(a) == simhash_dedup.BITS and [key >> 20 for key in a & b].count(own) == 1
 
 
+def test_simhash_pairs_within_max_bits():
+    """Every pair within MAX_BITS is found, once, and none beyond; rows that many others are near to are joined as by all pairs."""
+
+    def edges(f):
+        places, out = simhash_dedup.blocks(f), []
+        for block, place in enumerate(places.T):
+            for x in np.unique(place):
+                rows = np.flatnonzero(place == x)
+                out += zip(*(e.tolist() for e in simhash_dedup.block_edges(block, rows, f[rows])), strict=True)
+        return [tuple(sorted(e)) for e in out]
+
+    def flipped(f, least, most):
+        g = f.copy()
+        for k in range(len(f)):
+            for bit in r.choice(simhash_dedup.BITS, r.integers(least, most + 1), replace=False):
+                g[k, bit // 60] ^= np.uint64(1) << np.uint64(bit % 60)
+        return g
+
+    r, n, most = np.random.default_rng(5), 1000, simhash_dedup.MAX_BITS
+    f = r.integers(0, 1 << 60, (n, simhash_dedup.WORDS), dtype=np.uint64)
+    g, beyond = flipped(f, simhash_dedup.SURE_BITS + 1, most), flipped(f, most + 1, most + 2)
+    found = edges(np.concatenate((f, g, beyond)))
+    near = {(i, i + n) for i in range(n)} | {(i + n, i + 2 * n) for i in np.flatnonzero(simhash_dedup.distance(g, beyond) <= most)}
+    assert sorted(found) == sorted(near)
+    # two bits in each segment, which share no variant
+    two = f[:1] ^ np.uint64(sum(3 << 20 * s for s in range(3)))
+    assert int(simhash_dedup.distance(f[0], two[0])) == 24 and edges(np.concatenate((f[:1], two))) == [(0, 1)]
+    # rows enough for the masks, and values that many of them have
+    f = np.unique(np.concatenate((flipped(np.repeat(f[:1], 2500, 0), 1, 4), flipped(np.repeat(f[1:2], 600, 0), 15, 45), g)), axis=0)
+    group = np.arange(len(f))
+    for a, b in edges(f):
+        group[group == group[b]] = group[a]
+    whole = np.arange(len(f))
+    for i in range(len(f)):
+        close = np.unique(whole[simhash_dedup.distance(f, f[i]) <= most])
+        whole[np.isin(whole, close)] = close[0]
+    assert len(set(zip(group, whole, strict=True))) == len(set(group)) == len(set(whole))
+
+
 def test_rows_of_one_id(spark):
     """A document is an id with a text: another text under the id of a copy stays."""
     a, b, c = prose(80, 300), prose(80, 301), prose(80, 302)
