@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textvec as tv
 from docloom.llm.components import components
-from docloom.llm.shared import cut, maybe_broadcast, scratch, small_batches, whole_id
+from docloom.llm.shared import cut, delete, maybe_broadcast, scratch, small_batches, whole_id
 from docloom.llm.urls import host_of, path_of
 
 #: Share of a page's text, and of its body, from which on what it has in common with another makes it a copy.
@@ -113,9 +113,9 @@ def _last_match(match: int, before: int, here: int, j: int) -> int:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's distinct lines by hash, with the bytes they make up."""
+    """Each page's lines by hash, and the bytes that each distinct one makes up, in the order they come first."""
     for batch in batches:
-        kept, lines, hashes, sizes = [], [], [], []
+        kept, hashes, sizes = [], [], []
         for i, page in enumerate(batch.column("html")):
             text = lines_of(page.as_py())
             if text:
@@ -125,18 +125,17 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x, t in zip(h.tolist(), text, strict=True):
                     size[x] = size.get(x, 0) + len(t)
                 hashes.append(h)
-                lines.append(list(size))
                 sizes.append(list(size.values()))
         same = batch.take(pa.array(kept, pa.int64()))
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(same.column(c) for c in ("host", "path", "page_id", "uid")), pa.array(hashes, longs), pa.array(lines, longs), pa.array(sizes, longs)],
-            ["host", "path", "page_id", "uid", "hashes", "lines", "sizes"],
+            [*(same.column(c) for c in ("host", "page_id", "uid")), pa.array(hashes, longs), pa.array(sizes, longs)],
+            ["host", "page_id", "uid", "hashes", "sizes"],
         )
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between neighbours in each run of one key, both ways; and the partition's first and last row.
+    """Links from each row to the next in its run of one key; and the partition's first and last row.
 
     Rows are sorted by (key, place); of a link, `size` is that of the line.
     """
@@ -153,9 +152,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = key[-1], place[-1], size[-1]
         same = np.flatnonzero(key[1:] == key[:-1])
         if len(same):
-            a, b, s, k = place[same], place[same + 1], size[same], key[same]
-            n = 2 * len(same)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.concatenate((k, k))), pa.array(np.concatenate((a, b))), pa.array(np.concatenate((b, a))), pa.array(np.concatenate((s, s)))], names)
+            n = len(same)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), *map(pa.array, (key[same], place[same], place[same + 1], size[same]))], names)
     if first is not None:
         ends = [first, last]
         yield pa.RecordBatch.from_arrays(
@@ -164,13 +162,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(occurrences: DataFrame) -> DataFrame:
-    """(key, a, b, size) for neighbours in the runs of (key, place, size) rows, which may be longer than a partition."""
+    """(key, a, b, size) for each row and the next in the runs of (key, place, size) rows, which may be longer than a partition."""
     ranged = occurrences.repartitionByRange("key", "place").sortWithinPartitions("key", "place")
     found, _ = cut(ranged.mapInArrow(_neighbours, "kind int, part int, key long, a long, b long, size long"), "links")
     # two rows for each partition: joining the runs over their ends takes one small window
     ends = found.where("kind > 0").withColumn("up", F.lag(F.struct("part", "key", "a")).over(Window.orderBy("part", "kind")))
-    over = ends.where("kind = 1 and up.part <> part and up.key = key").select("key", "a", F.col("up.a").alias("b"), "size")
-    return found.where("kind = 0").select("key", "a", "b", "size").unionByName(over).unionByName(over.select("key", F.col("b").alias("a"), F.col("a").alias("b"), "size"))
+    over = ends.where("kind = 1 and up.part <> part and up.key = key").select("key", F.col("up.a").alias("a"), F.col("a").alias("b"), "size")
+    return found.where("kind = 0").select("key", "a", "b", "size").unionByName(over)
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return links.select("key", ends.alias("e"), "size").select("key", "e.a", "e.b", "size")
 
 
 def _past_copies(links: DataFrame, roots: DataFrame, n: int) -> DataFrame:
@@ -184,21 +187,27 @@ def _past_copies(links: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     def marked(some: DataFrame) -> DataFrame:
         of = lambda end: group.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
         both = some.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return cut(both.select("key", "a", "b", "size", (F.coalesce("of_a", "a") == F.coalesce("of_b", "b")).alias("stuck")), "links")[0]
+        return both.select("key", "a", "b", "size", (F.coalesce("of_a", "a") == F.coalesce("of_b", "b")).alias("stuck"))
 
+    # of all links only those that are stuck are written again
     now = marked(links)
-    done, stuck = now.where("not stuck").drop("stuck"), now.where("stuck").drop("stuck")
+    done, stuck = now.where("not stuck").drop("stuck"), cut(now.where("stuck").drop("stuck"), "links")[0]
+    every = links
     while stuck.limit(1).count():
-        on = done.unionByName(stuck).select("key", F.col("a").alias("b"), F.col("b").alias("c"))
-        now = marked(stuck.join(on, ["key", "b"]).where("(b > a) = (c > b)").select("key", "a", F.col("c").alias("b"), "size"))
+        on = every.select("key", F.col("a").alias("b"), F.col("b").alias("c"))
+        now, _ = cut(marked(stuck.join(on, ["key", "b"]).where("(b > a) = (c > b)").select("key", "a", F.col("c").alias("b"), "size")), "links")
         done, stuck = done.unionByName(now.where("not stuck").drop("stuck")), now.where("stuck").drop("stuck")
+        every = done.unionByName(stuck)
     return done
 
 
-def _votes(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """(a, b, votes, copy) for each page b that lines of a name; the sizes of lines of a body are negative."""
+def _votes(links: DataFrame, pages: DataFrame, ways: int) -> DataFrame:
+    """(a, b, votes, copy) for each page b that lines of a name; the sizes of lines of a body are negative. Links of two ways are given one way."""
     votes = links.groupBy("a", "b").agg(F.count("*").alias("votes"), F.sum(F.abs("size")).alias("common"), F.sum(F.greatest(-F.col("size"), F.lit(0))).alias("both"))
-    met = votes.join(pages.select(F.col("place").alias("a"), "total", "body"), "a").join(pages.select(F.col("place").alias("b"), F.col("total").alias("other")), "b").where("total > 0")
+    of = lambda end: pages.select(F.col("place").alias(end), F.struct(F.col("place").alias("at"), "total", "body").alias(f"of_{end}"))
+    way = lambda a, b: F.struct(F.col(f"of_{a}").alias("mine"), F.col(f"of_{b}").alias("theirs"))
+    met = votes.join(of("a"), "a").join(of("b"), "b").select("votes", "common", "both", F.explode(F.array(*[way("a", "b"), way("b", "a")][:ways])).alias("e"))
+    met = met.select(F.col("e.mine.at").alias("a"), F.col("e.theirs.at").alias("b"), "votes", "common", "both", "e.mine.total", "e.mine.body", F.col("e.theirs.total").alias("other")).where("total > 0")
     most = lambda c: F.col("common") > COPY_SHARE * F.col(c)
     copy = most("total") & (most("other") | (F.col("body") == 0) | (F.col("both") > COPY_SHARE * F.col("body")))
     return cut(met.select("a", "b", "votes", copy.alias("copy")), "votes")[0]
@@ -212,27 +221,31 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_lines(rows: DataFrame) -> DataFrame:
     """(uid, pair_id, gone): the pair of each page that has one, and the numbers of its lines to delete."""
-    held = rows.where("host is not null and html is not null").select("host", "path", "page_id", "uid", "html")
-    lined = held.mapInArrow(_line_rows, "host string, path string, page_id long, uid binary, hashes array<long>, lines array<long>, sizes array<long>").dropDuplicates(["uid"])
+    held = rows.where("host is not null and html is not null")
     order = ["host", "path", "page_id", "uid"]
-    # the id grows along the sorted partitions, so it is the place in URL order
-    placed = lined.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    pages, _ = cut(placed.select("place", "page_id", "uid", F.xxhash64("host").alias("host"), "hashes", "lines", "sizes"), "page-lines")
-    each = pages.select("place", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("l")).select("place", "host", F.col("l.lines").alias("line"), F.col("l.sizes").alias("size"))
-    # of a line: -1 on few pages of the table, 0 on most of its host's, else 1
-    per_host, _ = cut(each.groupBy("host", "line").agg(F.count("*").alias("on")), "host-lines")
-    few = per_host.groupBy("line").agg(F.sum("on").alias("all")).where(F.col("all") <= FEW).select("line", F.lit(-1).alias("few"))
+    # the id grows along the sorted partitions, so it is the place in URL order; lines aren't moved for it
+    places, _ = cut(held.select(*order).dropDuplicates(["uid"]).repartitionByRange(*order).sortWithinPartitions(*order).select("uid", F.monotonically_increasing_id().alias("place")), "places")
+    texts = held.select(F.xxhash64("host").alias("host"), "page_id", "uid", "html")
+    lined = texts.mapInArrow(_line_rows, "host long, page_id long, uid binary, hashes array<long>, sizes array<long>").dropDuplicates(["uid"])
+    pages, _ = cut(lined.join(maybe_broadcast(places, places.count(), 24), "uid").select("place", "page_id", "uid", "host", "hashes", "sizes"), "page-lines")
+    each = pages.select("place", "host", F.explode(F.arrays_zip(F.array_distinct("hashes").alias("line"), F.col("sizes").alias("size"))).alias("l")).select("place", "host", "l.line", "l.size")
+    # of a line: 0 on most pages of its host, -1 on few pages of the table, else 1
+    per_host, of_hosts = cut(each.groupBy("host", "line").agg(F.count("*").alias("on")), "host-lines")
+    # the lines that are on more pages are the fewer, so these are joined
+    often, _ = cut(per_host.groupBy("line").agg(F.sum("on").alias("all")).where(F.col("all") > FEW).select("line", F.lit(1).alias("often")), "often-lines")
     hosts = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > FEW)
-    most = per_host.where(F.col("on") > FEW).join(maybe_broadcast(hosts, hosts.count()), "host").where(F.col("on") > MOST * F.col("n")).select("host", "line", F.lit(0).alias("most"))
-    marked = each.join(few, "line", "left").join(most, ["host", "line"], "left")
-    seen, _ = cut(marked.select(F.xxhash64("host", "line").alias("key"), "place", (F.col("size") * F.coalesce("most", "few", F.lit(1))).alias("size")), "page-keys")
+    most, _ = cut(per_host.where(F.col("on") > FEW).join(maybe_broadcast(hosts, hosts.count()), "host").where(F.col("on") > MOST * F.col("n")).select("host", "line", F.lit(0).alias("most")), "most-lines")
+    delete(rows.sparkSession, of_hosts)
+    marked = each.join(maybe_broadcast(often, often.count()), "line", "left").join(maybe_broadcast(most, most.count(), 24), ["host", "line"], "left")
+    seen, of_keys = cut(marked.select(F.xxhash64("host", "line").alias("key"), "place", (F.col("size") * F.coalesce("most", "often", F.lit(-1))).alias("size")), "page-keys")
     sums = seen.groupBy("place").agg(F.sum(F.abs("size")).alias("total"), F.sum(F.greatest(-F.col("size"), F.lit(0))).alias("body"))
     sums, _ = cut(sums, "page-sizes")
     links = _links(seen)
-    named = _votes(links, sums)
+    delete(rows.sparkSession, of_keys)
+    named = _votes(links, sums, 2)
     copies = named.where("copy").select("a", "b")
     if copies.limit(1).count():
-        named = _votes(_past_copies(links, *components(copies)), sums)
+        named = _votes(_past_copies(_both_ways(links), *components(copies)), sums, 1)
     named = named.where("not copy")
     near = F.struct("votes", (F.col("b") < F.col("a")).alias("earlier"), F.when(F.col("b") < F.col("a"), F.col("b")).otherwise(-F.col("b")).alias("near"))
     pairs = named.groupBy("a").agg(F.max_by("b", near).alias("b"))

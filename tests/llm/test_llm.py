@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import bpe, decontaminate, html_text, jpeg_writer, language_model, line_dedup, media, quality, simhash_dedup, token_counts, urls
+from docloom.llm import bpe, decontaminate, html_text, jpeg_writer, language_model, line_dedup, media, quality, shared, simhash_dedup, token_counts, urls
 from docloom.llm import textvec as tv
 from docloom.llm.queries import BYTE_BPE
 from docloom.llm.shared import shared_dir
@@ -364,6 +364,27 @@ def test_html_copies(spark):
     assert all(got[r[0]].pair_id is None and got[r[0]].n_deleted == 0 for r in alone)
 
 
+def test_html_writes_little(spark, monkeypatch):
+    """The lines of a page are written once and links one way, and what is read no more is deleted before the end."""
+    rows, left = {}, []
+
+    def cut(df, name, keep=False):
+        out = shared.cut(df, name, keep)
+        rows.setdefault(name, []).append(out[0].count())
+        if name == "page-lines":
+            assert [c for c, kind in out[0].dtypes if kind.startswith("array")] == ["hashes", "sizes"]
+        if name == "shared-lines":
+            left.extend(x.name for x in Path(shared_dir(spark).removeprefix("file://")).iterdir())
+        return out
+
+    monkeypatch.setattr(html_text, "cut", cut)
+    body = [f"<p>{prose(30, 700 + i)}</p>" for i in range(8)]
+    pages = [(i, f"http://h/{i:02}", "<p>menu</p>" + "".join(f"<p>{x} {i // 8}</p>" for x in ("one", "two", "three")) + body[min(i, 7)]) for i in range(16)]
+    html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows["links"]) > 1 and rows["links"][0] < rows["page-keys"][0]
+    assert not [x for x in left if "host-lines" in x or "page-keys" in x]
+
+
 def test_token_counts(spark, awkward, empty, tmp_path):
     enc, cache = token_counts.encoding(BYTE_BPE), f"file://{tmp_path}/cache"
     want = sorted((r[0] or 0, -1 if r[1] is None else len(enc.encode_ordinary(r[1].rstrip(" \t\n")))) for r in AWKWARD)
