@@ -46,6 +46,8 @@ MIN_JACCARD = 0.7
 HOT = 20_000
 #: Lines that a band may have to be told by its lines.
 WHOLE = 4096
+#: Parts of the bands' keys, by their first 12 bits, that are sorted one at a time; members of bands that a task sends, and that it holds of a part, at once.
+PARTS, SENT, HELD = 1 << 12, 1 << 21, 1 << 22
 #: Lines that a task remembers, so as not to band them again.
 MEMO = 1 << 20
 _rng = np.random.default_rng(77)
@@ -112,8 +114,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bands of the lines that this task hasn't met before."""
+    """The bands of the lines that this task hasn't met before: (key, line) pairs, packed by part of the keys."""
     met: set[int] = set()
+    held: list[np.ndarray] = []
     for batch in tv.parts(batches):
         _, _, text = lines_of(batch)
         h, first = np.unique(_hashes(text)[0], return_index=True)
@@ -126,47 +129,87 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gram, own in families(length):
             if own.any():
                 keys = bands(*tv.flat(text.filter(pa.array(own))), gram)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(h[own], BANDS))], ["key", "line"])
+                held.append(np.stack((keys.view(np.int64).ravel(), np.repeat(h[own], BANDS)), 1))
+        if sum(map(len, held)) > SENT:
+            yield from _packed(held)
+            held = []
+    yield from _packed(held)
+
+
+def _packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if held:
+        pairs = np.concatenate(held)
+        part = (pairs[:, 0].view(np.uint64) >> np.uint64(52)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[order], np.arange(PARTS + 1))
+        some = np.flatnonzero(np.diff(at))
+        offsets = np.append(at[some], at[-1]).astype(np.int32) * np.int32(16)
+        packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(pairs[order])])
+        batch = pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packed], ["part", "pairs"])
+        for i in range(0, len(some), 256):
+            yield batch.slice(i, 256)
+
+
+def _sorted_pairs(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, line), sorted and once each, of the pairs whose key another line has, too."""
+    pairs = np.concatenate(held)
+    key = np.ascontiguousarray(pairs[:, 0])
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    shared = np.append(same, False) | np.append(False, same)
+    key, line = key[shared], pairs[order[shared], 1]
+    order = np.lexsort((line, key))
+    key, line = key[order], line[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])))[: len(key)]
+    return key[fresh], line[fresh]
 
 
 def _crowded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of bands that hold more than one line, from rows sorted by (key, line), under a key of their own.
+    """The members of bands that hold more than one line, from rows sorted by part, under a key of their own.
 
     Bands of the same lines get the same key, from the sum of the lines' hashes, so that lines with many bands
-    in common are compared once. A band of more than WHOLE lines is passed on as it comes, under its band's key.
+    in common are compared once. A band of more than WHOLE lines is passed on under its band's key, in a part of
+    more than HELD pairs as it comes.
     """
-    key, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    passing: int | None = None
+    now, held, passing = -1, [], np.zeros(0, np.int64)
+    n, most = 0, HELD
 
     def out(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(k)], ["line", "key"])
 
     for batch in batches:
-        key, line = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((key, "key"), (line, "line")))
-        if not len(key):
-            continue
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
-        key, line = key[fresh], line[fresh]
-        if passing is not None:
-            n = int(np.searchsorted(key, passing, "right"))
-            if n:
-                yield out(key[:n], line[:n])
-            if n == len(key):
-                key, line = key[:0], line[:0]
-                continue
-            key, line, passing = key[n:], line[n:], None
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield from _named(key[:last], line[:last], out)
-        key, line = key[last:], line[last:]
-        if len(key) > WHOLE:
-            yield out(key, line)
-            passing, key, line = int(key[0]), key[:0], line[:0]
-    if len(key):
-        yield from _named(key, line, out)
+        for part, packed in zip(batch.column("part").to_pylist(), batch.column("pairs"), strict=True):
+            if part != now:
+                if held:
+                    yield from _named(*_sorted_pairs(held), out)
+                now, held, passing = part, [], passing[:0]
+                n, most = 0, HELD
+            pairs = np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, 2)
+            if len(passing):
+                goes = np.isin(pairs[:, 0], passing)
+                yield out(pairs[goes, 0], pairs[goes, 1])
+                pairs = pairs[~goes]
+            held.append(pairs)
+            n += len(pairs)
+            if n > most:
+                whole = np.concatenate(held)
+                key, line = _sorted_pairs([whole])
+                names, size = np.unique(key, return_counts=True)
+                large = names[size > WHOLE]
+                passing = np.concatenate((passing, large))
+                goes = np.isin(key, large)
+                yield out(key[goes], line[goes])
+                held = [whole[~np.isin(whole[:, 0], large)]]
+                n = len(held[0])
+                most = max(HELD, 2 * n)
+    if held:
+        yield from _named(*_sorted_pairs(held), out)
 
 
 def _named(key: np.ndarray, line: np.ndarray, out) -> Iterator[pa.RecordBatch]:
+    if not len(key):
+        return
     starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
     size = np.diff(np.concatenate((starts, [len(key)])))
     sums = np.add.reduceat(tv.mix(line.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), starts)
@@ -180,11 +223,12 @@ def _text_rows(bits: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.parts(batches):
             _, _, text = lines_of(batch)
-            h, first = np.unique(_hashes(text)[0], return_index=True)
-            hit = in_filter(bits, h)
-            if hit.any():
-                text = text.take(pa.array(first[hit]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(_hashes(text, 2)[1]), text.cast(pa.string())], ["h1", "h2", "body"])
+            h = _hashes(text)[0]
+            hit = np.flatnonzero(in_filter(bits, h))
+            if len(hit):
+                h, first = np.unique(h[hit], return_index=True)
+                text = text.take(pa.array(hit[first]))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(_hashes(text, 2)[1]), text.cast(pa.string())], ["h1", "h2", "body"])
 
     return rows
 
@@ -203,7 +247,10 @@ class Sets:
 
     def similar(self, p: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Whether the Jaccard similarity of each pair is high enough."""
-        out = np.empty(len(p), bool)
+        out = np.zeros(len(p), bool)
+        # sizes alone rule out some
+        may = np.flatnonzero(np.minimum(self.size[p], self.size[c]) >= MIN_JACCARD * np.maximum(self.size[p], self.size[c]))
+        p, c = p[may], c[may]
         both = self.size[p] + self.size[c]
         for i, j in tv.pieces(tv.spans(both), 1 << 20):
             pair = np.repeat(np.arange(j - i, dtype=np.uint64), both[i:j])
@@ -213,15 +260,19 @@ class Sets:
             keys = np.sort((pair << np.uint64(44)) | self.values[where])
             same = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)
             shared = np.bincount(same.astype(np.int64), minlength=j - i)
-            out[i:j] = shared >= MIN_JACCARD * (both[i:j] - shared)
+            out[may[i:j]] = shared >= MIN_JACCARD * (both[i:j] - shared)
         return out
 
-    def bits(self, words: int = 32) -> np.ndarray:
-        """Each set as a set of 64 * words bits."""
-        slot = self.values % np.uint64(64 * words)
-        out = np.zeros((len(self.size), words), np.uint64)
-        row = np.repeat(np.arange(len(self.size)), self.size)
-        np.bitwise_or.at(out, (row, (slot >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (slot & np.uint64(63)))
+    def bits(self, rows: np.ndarray, words: int = 32) -> np.ndarray:
+        """The sets of these lines as sets of 64 * words bits."""
+        slot = (self.values % np.uint64(64 * words)).astype(np.int64)
+        out = np.empty((len(rows), words), np.uint64)
+        for i in range(0, len(rows), 4096):  # bounded unpacked bits
+            size = self.size[rows[i : i + 4096]]
+            where = np.arange(size.sum()) + np.repeat(self.at[rows[i : i + 4096]] - tv.spans(size)[:-1], size)
+            flags = np.zeros((len(size), 64 * words), bool)
+            flags[np.repeat(np.arange(len(size)), size), slot[where]] = True
+            out[i : i + 4096] = np.packbits(flags, axis=1).view(np.uint64)
         return out
 
 
@@ -265,8 +316,12 @@ def bucket_edges(text: pa.Array, key: np.ndarray, starts: np.ndarray) -> tuple[n
                     near = slice(max(0, x - 8), y + 8)
                     part[near][part[near] == part[y]] = part[x]
         many = np.flatnonzero(size[own] > 8)
-        bits = sets.bits() if len(many) else None
-        lost = sets.size - np.bitwise_count(bits).sum(1, dtype=np.int64) if len(many) else None
+        if not len(many):
+            continue
+        crowd = np.flatnonzero(np.repeat(size[own] > 8, size[own]))
+        bits, lost = np.zeros((len(rows), 32), np.uint64), np.zeros(len(rows), np.int64)
+        bits[crowd] = sets.bits(crowd)
+        lost[crowd] = sets.size[crowd] - np.bitwise_count(bits[crowd]).sum(1, dtype=np.int64)
         for k in many:
             lo, hi = int(begin[k]), int(begin[k + 1])
 
@@ -326,8 +381,8 @@ def _duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     with scratch(docs.sparkSession):
         rows = ids_and_texts(docs).where("doc_id is not null and text is not null").withColumn("copy", F.xxhash64("text"))
         lines, _ = cut(rows.mapInArrow(_line_rows, "doc_id long, copy long, line_no int, h1 long, h2 long"), "lines")
-        banded = rows.select("text").mapInArrow(_band_rows, "key long, line long")
-        crowded, _ = cut(banded.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_crowded_rows, "line long, key long").distinct(), "crowded")
+        banded = rows.select("text").mapInArrow(_band_rows, "part int, pairs binary")
+        crowded, _ = cut(banded.repartition("part").sortWithinPartitions("part").mapInArrow(_crowded_rows, "line long, key long").distinct(), "crowded")
         ids = crowded.select("line").distinct()
         bodies = rows.select("text").mapInArrow(_text_rows(filter_of(ids, ids.count())), "h1 long, h2 long, body string").groupBy("h1", "h2").agg(F.first("body").alias("body"))
         edges, _ = cut(_met(crowded, bodies, hot).mapInArrow(_edge_rows, "a1 long, a2 long, b1 long, b2 long"), "line-edges")

@@ -605,6 +605,32 @@ def test_hot_band(spark):
     assert all(group[at[x]] == group[at[y]] for x, y in pairs)
 
 
+def test_bands_are_packed(monkeypatch):
+    """A task sends one row for a part of the keys; the bands of several lines come out whole, large ones as they come, whatever is held at once."""
+    texts = pa.array([prose(12, 2000 + i) for i in range(3000)])
+    sent = list(line_dedup._band_rows(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    assert sum(b.num_rows for b in sent) <= line_dedup.PARTS < 3000 * line_dedup.BANDS
+    assert sum(len(x.as_buffer()) // 16 for b in sent for x in b.column("pairs")) >= 3000 * line_dedup.BANDS
+    r = np.random.default_rng(8)
+    key = np.concatenate((r.integers(0, 1 << 40, 400)[r.integers(0, 400, 900)], np.full(3000, 5), r.integers(-(1 << 62), 1 << 62, 300)))
+    line = np.concatenate((r.integers(0, 1 << 60, 900), r.integers(0, 1500, 3000), r.integers(0, 1 << 60, 300)))
+    pairs = np.stack((key, line), 1)[r.permutation(len(key))]
+    want: dict[int, set] = {}
+    for k, x in pairs.tolist():
+        want.setdefault(k, set()).add(x)
+    packed = [b for x in np.array_split(pairs, 30) for b in line_dedup._packed([x])]
+    rows = sorted((x for b in packed for x in b.to_pylist()), key=lambda x: x["part"])
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("pairs", pa.binary())]))
+    for held, whole in ((1 << 20, 4096), (100, 50), (100, 4096)):
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        monkeypatch.setattr(line_dedup, "WHOLE", whole)
+        got: dict[int, set] = {}
+        for b in line_dedup._crowded_rows(iter([batch])):
+            for x in b.to_pylist():
+                got.setdefault(x["key"], set()).add(x["line"])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
 def test_long_texts_hash_apart():
     a, b = "a" * 65536, "b" * 65536
     for h in tv.text_hashes(*tv.flat(pa.array([a + b, b + a, a + b, a, ""]))):
