@@ -476,6 +476,40 @@ def test_bpe(spark, awkward, empty, docs):
     assert [r.text for r in bpe.decode(odd, BYTE_BPE).orderBy("doc_id").collect()] == [own.decode(smile[:-1]), None, None, None, ""]
 
 
+def encoded_rows(texts: list[str | None]) -> list[dict]:
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    return [r for b in bpe._rows(BYTE_BPE)(iter([batch])) for r in b.to_pylist()]
+
+
+def test_bpe_merges_short_pieces_side_by_side(monkeypatch):
+    own_rng = random.Random(8)
+    one_by_one, merge = [], bpe.Coder.merge
+    monkeypatch.setattr(bpe.Coder, "merge", lambda self, raw: one_by_one.append(raw) or merge(self, raw))
+    long = "xyzzy" * 13
+    texts = [" ".join("".join(own_rng.choices("abcdeéñ", k=own_rng.randint(1, 30))) for _ in range(3000)), f"a {long} b", f"{long} {long}"]
+    enc = token_counts.encoding(BYTE_BPE)
+    assert [(r["tokens"], r["round_trip"]) for r in encoded_rows(texts)] == [(enc.encode_ordinary(t), True) for t in texts]
+    assert sorted(one_by_one) == [f" {long}".encode(), long.encode()]
+
+
+def test_bpe_batches(monkeypatch):
+    enc, own, own_rng = token_counts.encoding(BYTE_BPE), bpe.coder(BYTE_BPE), random.Random(9)
+    signs = [*"aZ9 '\n\t\r\x00\x1c\x85\xa0éß中😀\u3000\u0301٣Ⅷ²!-.sdmtlvreS", "'s", "'ll", "'re", "'ve", " '", "  ", "the", " of"]
+    texts = [None, "", *("".join(own_rng.choices(signs, k=own_rng.choice((1, 2, 3, 9, 200)))) for _ in range(400)), "", None]
+    for stretch in (bpe.STRETCH, 50):
+        monkeypatch.setattr(bpe, "STRETCH", stretch)
+        for t, r in zip(texts, encoded_rows(texts), strict=True):
+            want = None if t is None else enc.encode_ordinary(t)
+            assert (r["tokens"], r["n_tokens"], r["round_trip"]) == ((None, None, None) if t is None else (want, len(want), True))
+    data, offsets = bpe.tv.flat(pa.array(["one two", "", "three"]))
+    tokens, numbers = own.encode_all(data, offsets)
+    tokens[-1] += 1
+    assert own.same(tokens, numbers, data, offsets).tolist() == [True, True, False]
+    for size in (7, 8, 9, 32, 33, 64, 65):
+        for t in ("a" * size, "".join(own_rng.choices("aetnos", k=size)), "\x00" * size):
+            assert own.encode(t) == enc.encode_ordinary(t)
+
+
 def test_decontaminate(spark, awkward, empty):
     item = prose(40, 500)
     w = item.split()
