@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from docloom import schema as S
 from docloom.functions import text as X
-from docloom.functions.blocks import lex_frames
+from docloom.functions.blocks import lex_batches
 
 
 def tokens(texts: DataFrame) -> DataFrame:
     """Block tokens of (path, text) rows; the text is cleaned first."""
     cleaned = texts.select("path", X.clean_docc(F.col("text")).alias("text"))
-    return cleaned.mapInPandas(lex_frames, S.TOKEN)
+    return cleaned.mapInArrow(lex_batches, S.TOKEN)
 
 
 def block_of(token_type: Column, text: Column, raw: Column, lang: Column) -> Column:
@@ -56,7 +56,7 @@ def titles(toks: DataFrame) -> DataFrame:
 def document_nodes(texts: DataFrame, top_type: str = S.FILE_TOP, map_h2: bool = True) -> DataFrame:
     """The trees of (path, text) rows: a top node for each file, then its sections."""
     cleaned = texts.select("path", X.clean_docc(F.col("text")).alias("text"), F.regexp_extract("text", "(?s)\\A---\\n.*?\\n---", 0).alias("front"))
-    toks = cleaned.mapInPandas(lex_frames, S.TOKEN)
+    toks = cleaned.mapInArrow(lex_batches, S.TOKEN)
     top = F.col("type") == "top"
     head = F.when(top | (F.col("type") == "heading"), F.struct(F.col("text").alias("title"), "depth", "place", F.when(top, F.col("raw")).alias("front")))
     block = F.when(~top, block_of(F.col("type"), F.col("text"), F.col("raw"), F.col("lang")))
