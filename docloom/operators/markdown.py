@@ -14,9 +14,14 @@ from docloom.functions import text as X
 from docloom.functions.blocks import lex_batches
 
 
+def _spread(texts: DataFrame) -> DataFrame:
+    """In as many tasks as an exchange has: where the texts come from one file or a broadcast join they lie in one, and the lexer's work is not told by their bytes."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def tokens(texts: DataFrame) -> DataFrame:
     """Block tokens of (path, text) rows; the text is cleaned first."""
-    cleaned = texts.select("path", X.clean_docc(F.col("text")).alias("text"))
+    cleaned = _spread(texts).select("path", X.clean_docc(F.col("text")).alias("text"))
     return cleaned.mapInArrow(lex_batches, S.TOKEN)
 
 
@@ -55,13 +60,13 @@ def titles(toks: DataFrame) -> DataFrame:
 
 def document_nodes(texts: DataFrame, top_type: str = S.FILE_TOP, map_h2: bool = True) -> DataFrame:
     """The trees of (path, text) rows: a top node for each file, then its sections."""
-    cleaned = texts.select("path", X.clean_docc(F.col("text")).alias("text"), F.regexp_extract("text", "(?s)\\A---\\n.*?\\n---", 0).alias("front"))
+    cleaned = _spread(texts).select("path", X.clean_docc(F.col("text")).alias("text"), F.regexp_extract("text", "(?s)\\A---\\n.*?\\n---", 0).alias("front"))
     toks = cleaned.mapInArrow(lex_batches, S.TOKEN)
     top = F.col("type") == "top"
     head = F.when(top | (F.col("type") == "heading"), F.struct(F.col("text").alias("title"), "depth", "place", F.when(top, F.col("raw")).alias("front")))
     block = F.when(~top, block_of(F.col("type"), F.col("text"), F.col("raw"), F.col("lang")))
     rows = toks.where("section is not null").select("path", "section", "pos", head.alias("head"), block.alias("block")).where("head is not null or block is not null")
-    # all that follows is by path, so this is the only exchange
+    # all that follows is by path, so this is the only exchange of tokens
     ordered = F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("pos", "block"))), lambda x, y: x["pos"] - y["pos"])
     nodes = rows.repartition("path").groupBy("path", "section").agg(F.first("head", ignorenulls=True).alias("h"), ordered.alias("b"))
     top, front = F.col("section") == -1, F.map_filter(X.front_matter(F.col("h.front")), lambda k, v: ~k.isin("format", "path"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from docloom.functions import blocks
+from docloom.operators import markdown
 
 
 def batches(texts: list[str]) -> list[pa.RecordBatch]:
@@ -45,3 +47,11 @@ def test_tokens_before_the_first_heading_and_the_title():
         ("p1", "top", -1, None), ("p2", "paragraph", None, None), ("p2", "top", -1, None),
     ]
     assert [r["text"] for r in rows if r["type"] == "top"] == ["Title", None, None]
+
+
+def test_texts_of_one_task_are_lexed_in_many(spark):
+    texts = spark.createDataFrame([(f"p{i}", f"# T{i}\n\nBody.\n") for i in range(64)], "path string, text string").coalesce(1)
+    for lexed in (markdown.tokens(texts), markdown.document_nodes(texts)):
+        assert lexed.count() > 64
+    tasks = markdown.tokens(texts).select("path", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in tasks}) == 4 and len(tasks) == 64
